@@ -8,6 +8,7 @@ MODULES = [
     "simhash",
     "host_rules",
     "replication",
+    "packing",
 ]
 
 
