@@ -9,6 +9,8 @@ MODULES = [
     "host_rules",
     "replication",
     "packing",
+    "gam",
+    "toxicity",
 ]
 
 
