@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = [
+    "warc",
+    "hash_search",
     "simhash",
     "host_rules",
     "replication",

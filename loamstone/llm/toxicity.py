@@ -66,7 +66,7 @@ def distinct(text: np.ndarray, bucket: np.ndarray, bits: int = BITS) -> tuple[np
     return both >> bits, both & ((1 << bits) - 1)
 
 
-def ftrl(docs: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> tuple[np.ndarray, float]:
+def ftrl(docs: list[np.ndarray], y: np.ndarray, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias. The bias is a coordinate of its own without L1."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = bias = 0.0
