@@ -13,6 +13,7 @@ MODULES = [
     "packing",
     "gam",
     "toxicity",
+    "window_dedup",
 ]
 
 
