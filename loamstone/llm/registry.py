@@ -14,6 +14,7 @@ MODULES = [
     "gam",
     "toxicity",
     "window_dedup",
+    "suffix_dedup",
 ]
 
 
