@@ -302,15 +302,17 @@ class Group:
                 proven[i].append((left, right))
         doubtful = [i for i in range(n) if n > 2 and self._doubtful(i, proven[i], length)]
         if doubtful:
-            kinds: dict[tuple[bytes, bytes], int] = {}
+            kinds: dict[tuple[bytes, bytes], list[int]] = {}  # one member of each kind, and how many there are
             for i, x in enumerate(m):
-                kinds.setdefault((x[0], x[1]), i)
+                kinds.setdefault((x[0], x[1]), [i, 0])[1] += 1
                 if len(kinds) > SMALL_GROUP:
                     break
             if len(kinds) <= SMALL_GROUP:
-                others = list(kinds.values())
                 for i in doubtful:
-                    for j in others:
+                    if kinds[m[i][0], m[i][1]][1] > 1:
+                        proven[i].append((len(m[i][1]), len(m[i][0])))
+                        continue
+                    for j, _ in kinds.values():
                         if j != i:
                             right = shared_prefix(m[i][0], m[j][0], length // 2)
                             left = shared_suffix(m[i][1], m[j][1])
