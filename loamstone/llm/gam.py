@@ -17,6 +17,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +215,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
     return scored(table, train(table, labels, label, learn, max_rows))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", cutoff: float = CUTOFF, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rows of docs with a score of `cutoff` or more. Only the training rows' features are kept; texts are not shuffled."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter(learn & F.col("y").isin(0.0, 1.0))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows).select("doc_id").distinct()
+    table = Scratch(docs.sparkSession, "gam").keep(featured(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "training")  # max_rows ids at most
+    shared = docs.sparkSession.sparkContext.broadcast(train(table, labels, label, learn, max_rows))
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(np.array([features(t) for t in text], np.float32).reshape(len(text), len(NAMES))))
+
+    return docs.filter(score(F.col("text").cast("string")) >= cutoff)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = classify(docs, labels, fold() != 0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 MODULES = [
     "warc",
     "hash_search",
@@ -23,7 +25,7 @@ def _modules():
 
 
 def queries() -> dict:
-    return {m.QUERY: m.query for m in _modules()}
+    return {m.QUERY: m.query for m in _modules()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

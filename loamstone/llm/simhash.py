@@ -19,13 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import Scratch, rows
+from loamstone.llm.common import Scratch, join_bounded, rows
 
 QUERY = "op9_simhash_dedup"
 ORACLE = None  # 64-bit XXH64 and components over links are not in DuckDB's SQL
 
 BITS = 64
 BLOCKS = 8
+LARGE = 4096
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -88,41 +89,65 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (empty, empty)
 
 
-def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """a, b: links between distinct fingerprints, as a spanning forest per group. prints: node, fp, both unique."""
+def pigeonhole_masks(radius: int) -> list[int]:
+    """Bits of every choice of 8 - radius blocks: fingerprints within `radius` agree on one of them at least."""
     size = BITS // BLOCKS
-    masks = []
-    for kept in combinations(range(BLOCKS), BLOCKS - radius):
-        mask = sum(((1 << size) - 1) << (size * k) for k in kept)
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("key")
-    groups = (
-        prints.select("node", "fp", keys)
-        .groupBy("key.t", "key.k")
-        .agg(F.collect_list(F.struct("node", "fp")).alias("m"))
-        .filter(F.size("m") > 1)
-        .select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
-    )
-
-    def run(nodes, fps):
-        a, b = [], []
-        flat_nodes, flat_fps = np.asarray(nodes.values), np.asarray(fps.values).view(np.uint64)
-        ends = np.asarray(nodes.offsets)
-        for s, e in zip(ends[:-1], ends[1:], strict=True):
+    return [sum(((1 << size) - 1) << (size * k) for k in kept) for kept in combinations(range(BLOCKS), BLOCKS - radius)]
+
+
+def sampled_masks(n: int, bits: int, seed: int = 11) -> list[int]:
+    """n random choices of `bits` bits, for radii that blocks cannot cover."""
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(k) for k in rng.choice(BITS, bits, replace=False)) for _ in range(n)]
+
+
+def _forests(groups: DataFrame, radius: int, roots: bool) -> DataFrame:
+    """a, b: forest edges of groups (t, k, m: array of node and fp); with roots also a = b, fp, for each tree's first node."""
+
+    def run(t, k, nodes, fps):
+        out = [[], [], [], [], []]
+        flat_nodes, flat_fps = np.asarray(nodes.flatten()), np.asarray(fps.flatten()).view(np.uint64)
+        ends = np.cumsum(np.diff(np.asarray(nodes.offsets)))
+        for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             if e - s == 2:
-                if (int(flat_fps[s]) ^ int(flat_fps[s + 1])).bit_count() <= radius:
-                    a.append(flat_nodes[s : s + 1])
-                    b.append(flat_nodes[s + 1 : s + 2])
+                close = (int(flat_fps[s]) ^ int(flat_fps[s + 1])).bit_count() <= radius
+                x, y = (flat_nodes[s : s + 1], flat_nodes[s + 1 : e]) if close else (flat_nodes[:0], flat_nodes[:0])
             else:
                 x, y = _forest(flat_fps[s:e], flat_nodes[s:e], radius)
-                a.append(x)
-                b.append(y)
-        empty = np.zeros(0, np.int64)
-        x, y = np.concatenate([empty, *a]), np.concatenate([empty, *b])
-        return np.minimum(x, y), np.maximum(x, y)
+            first = ~np.isin(flat_nodes[s:e], y) if roots else np.zeros(e - s, bool)
+            own, prints = flat_nodes[s:e][first], flat_fps[s:e][first].view(np.int64)
+            out[0].append(np.concatenate([np.minimum(x, y), own]))
+            out[1].append(np.concatenate([np.maximum(x, y), own]))
+            out[2].append(np.concatenate([np.zeros(len(x), np.int64), prints]))
+            out[3].append(np.full(len(x) + len(own), t[i].as_py(), np.int32))
+            out[4].append(np.full(len(x) + len(own), k[i].as_py(), np.int64))
+        return [np.concatenate(c) for c in out]
+
+    schema = "a long, b long, fp long, t int, k long"
+    return groups.select("t", "k", F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps")).mapInArrow(rows(run, schema), schema)
 
-    schema = "a long, b long"
-    return groups.mapInArrow(rows(run, schema), schema).distinct()
+
+def links(prints: DataFrame, radius: int = 2, masks: list[int] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """a, b: links between distinct fingerprints, as a spanning forest per group. prints: node, fp, both unique.
+
+    With the default masks groups are bounded by their free bits. With other masks a key may be frequent: groups of more
+    than LARGE members are first dealt into salted parts, and the roots of the parts' forests then meet under the key.
+    """
+    bounded = masks is None
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in (masks or pigeonhole_masks(radius))]
+    key = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])).alias("key")
+    keyed = prints.select("node", "fp", key).select("node", "fp", "key.t", "key.k")
+    members = F.collect_list(F.struct("node", "fp")).alias("m")
+    if bounded:
+        return _forests(keyed.groupBy("t", "k").agg(members).filter(F.size("m") > 1), radius, False).select("a", "b").distinct()
+    counts = scratch.keep(keyed.groupBy("t", "k").count().filter("count > 1"), "keys")
+    shared = join_bounded(keyed, counts, ["t", "k"], "inner", 200_000)
+    salted = shared.withColumn("salt", F.when(F.col("count") > LARGE, F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LARGE))).otherwise(0))
+    parts = salted.groupBy("t", "k", "salt").agg(members, F.max("count").alias("count"))
+    small = _forests(parts.filter(f"count <= {LARGE}"), radius, False).select("a", "b")
+    large = scratch.keep(_forests(parts.filter(f"count > {LARGE}"), radius, True), "salted")
+    meet = large.filter("a = b").groupBy("t", "k").agg(F.collect_list(F.struct(F.col("a").alias("node"), "fp")).alias("m"))
+    return small.unionByName(large.filter("a != b").select("a", "b")).unionByName(_forests(meet, radius, False).select("a", "b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -157,10 +182,49 @@ def components_of(docs: DataFrame, width: int = 3, seed: int = 42, radius: int =
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """Rows of docs whose doc_id is the smallest of its component: one document of each group stays."""
-    kept = components_of(docs, **parameters).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def _shingle_set(text: str | None, width: int) -> np.ndarray:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)] * bool(words)
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12, tables: int = 40) -> DataFrame:
+    """Rows of docs without those whose word shingles have a Jaccard similarity of `similarity` or more with the one kept.
+
+    Two texts of similarity 0.8 differ in 9 bits of 64 on average, more than blocks can cover, so candidates share one of
+    `tables` random choices of bits (as many bits as there are doublings of the corpus) and are at most `radius` apart. The
+    document of smallest doc_id of a component stays; another leaves if its shingles, compared exactly, are similar to that
+    one's; the rest stay too. Rows with the same doc_id stay or leave together; null doc_ids stay. Empty texts are similar.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    prints = scratch.keep(fingerprints(docs.filter(F.col("doc_id").isNotNull()), width), "fingerprints")
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
+    bits = min(40, max(12, int(classes.count()).bit_length()))
+    found = scratch.keep(components(links(classes, radius, sampled_masks(tables, bits), scratch), scratch), "components")
+    of_print = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("kept_id"))
+    grouped = scratch.keep(prints.join(of_print, "fp").select("doc_id", "kept_id"), "grouped").filter("doc_id != kept_id").distinct()
+    needed = grouped.unionByName(grouped.select(F.col("kept_id").alias("doc_id"), "kept_id").distinct())
+
+    def sets(doc_id, kept_id, text):
+        return doc_id, kept_id, [_shingle_set(t, width).tobytes() for t in text.to_pylist()]
+
+    schema = "doc_id long, kept_id long, shingles binary"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = scratch.keep(texts.join(needed.hint("shuffle_hash"), "doc_id").select("doc_id", "kept_id", "text").mapInArrow(rows(sets, schema), schema), "shingles")
+    kept = hashed.filter("doc_id = kept_id").groupBy("kept_id").agg(F.first("shingles").alias("other"))
+
+    def alike(doc_id, shingles, other):
+        out = []
+        for a, b in zip(shingles, other, strict=True):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both))
+        return doc_id, out
+
+    schema = "doc_id long, alike boolean"
+    pairs = hashed.filter("doc_id != kept_id").join(kept, "kept_id").select("doc_id", "shingles", "other")
+    leaving = scratch.keep(pairs.mapInArrow(rows(alike, schema), schema).groupBy("doc_id").agg(F.min("alike").alias("alike")).filter("alike").select("doc_id"), "leaving")
+    return docs.join(leaving.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -425,6 +426,32 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(rows(run, schema), schema).withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs (its columns, among them doc_id and text) without the repeated bytes; n_chars, if there, counts the new text.
+
+    A character of which a byte is removed goes whole. Rows all stay, with empty text at least; null text stays null.
+    """
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    own = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "tag": F.xxhash64(own)})
+    covers = scratch.keep(repeated_strings(keyed_documents(docs).withColumn("text", F.col("text").cast("binary")), scratch, length), "covers")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for t, s, e in zip(text, starts, ends, strict=True):
+            if t is not None and s is not None:
+                b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
+                t = b[~mask_of(len(b), s, e)].tobytes().decode("utf-8", "ignore")
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    joined = keyed.join(covers.hint("shuffle_hash"), ["doc", "tag"], "left").withColumn("text", cut("text", "starts", "ends"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
