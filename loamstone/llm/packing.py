@@ -18,6 +18,7 @@ table packs to no rows. The driver holds one number per source, `MAX_SOURCES` at
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -33,7 +34,9 @@ ORACLE = None  # BPE ids are not in SQL
 
 PERIOD = 4096
 MAX_SOURCES = 20_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
+BATCH = 2048
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict = {}
 
 
@@ -44,13 +47,45 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pieces never span ASCII white space; each word is encoded once and remembered."""
+    """Ids of texts by a tokenizer whose pieces never span ASCII white space; words are encoded once and remembered.
+
+    A word that ends in a letter and ASCII marks is the letters' ids and the marks' ids, and ASCII case makes no difference,
+    so words are remembered without either. Two generations are kept: what is not met again is forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """The word without trailing marks, in lower case if ASCII, and the marks."""
+        bare = word.rstrip(MARKS)
+        if bare and bare[-1].isalpha() and "|>" not in word:  # special tokens hold |>
+            return (bare.lower() if bare.isascii() else bare), word[len(bare) :]
+        return word, ""
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                found = older.get(w)
+                if found is None:
+                    new.append(w)
+                else:
+                    known[w] = found
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        out = [known[w] for w in words]
+        if len(known) > CACHED_WORDS:
+            self.known, self.older = {}, known
+        return out
 
     def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a pyarrow string array, end_id after each, and the number of ids of each text."""
@@ -59,26 +94,19 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = np.diff(np.asarray(words.offsets).astype(np.int64))
         coded = words.flatten().dictionary_encode()
-        unique, index = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in unique if w not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        blobs = [self.known[w] for w in unique]
-        sizes = np.fromiter((len(b) // 4 for b in blobs), np.int64, len(blobs))
+        index = np.asarray(coded.indices).astype(np.int64)
+        parts = [self.parts(w) for w in coded.dictionary.to_pylist()]
+        distinct = list(dict.fromkeys(x for p in parts for x in p))
+        ids_of = dict(zip(distinct, self._ids(distinct), strict=True))
+        blobs = [ids_of[a] + ids_of[b] if b else ids_of[a] for a, b in parts]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), np.uint32)
         starts = np.cumsum(sizes) - sizes
         n = sizes[index]
-        place = np.cumsum(n) - n
-        ids = pool[np.repeat(starts[index] - place, n) + np.arange(n.sum())]
-        text_of_word = np.repeat(np.arange(len(per_text)), per_text)
-        lengths = np.bincount(text_of_word, weights=n, minlength=len(per_text)).astype(np.int64)
-        ends = np.cumsum(lengths)
-        out = np.insert(ids, ends, np.uint32(end_id))
-        return out, lengths + 1
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(starts[index] - (ends - n), n) + np.arange(n.sum())]
+        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+        return np.insert(ids, at[1:], np.uint32(end_id)), np.diff(at) + 1
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -99,10 +127,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
             served["pid"] = pid
         encoder = _encoder(path)
         out = [[], [], []]
-        for i in range(0, len(text), 512):
-            ids, lengths = encoder.encode(text[i : i + 512], end_id)
+        for i in range(0, len(text), BATCH):
+            ids, lengths = encoder.encode(text[i : i + BATCH], end_id)
             raw, at = memoryview(ids.astype("<u4").tobytes()), 0
-            for source, n in zip(source_key[i : i + 512].to_pylist(), lengths.tolist(), strict=True):
+            for source, n in zip(source_key[i : i + BATCH].to_pylist(), lengths.tolist(), strict=True):
                 out[0].append(n)
                 out[1].append(served.get((source,), 0))
                 served[source,] = out[1][-1] + n
