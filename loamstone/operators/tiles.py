@@ -7,8 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def map_changes(snapshots: DataFrame, keys: list[str], item: str, value: str, ts: str = "ts") -> DataFrame:
+    """Rows of the snapshots whose content differs from the snapshot before; unchanged ones are not kept as versions."""
+    content = F.xxhash64(F.array_sort(F.collect_list(F.struct(item, value))))
+    versions = snapshots.groupBy(*keys, ts).agg(content.alias("_c"))
+    before = F.lag("_c").over(W.partitionBy(*keys).orderBy(ts))
+    kept = versions.withColumn("_p", before).filter("_p is null or _p != _c").select(*keys, ts)
+    return snapshots.join(kept, [*keys, ts], "left_semi")
+
+
 def map_deltas(snapshots: DataFrame, keys: list[str], item: str, value: str, ts: str = "ts") -> DataFrame:
-    """Reverse deltas of full snapshots (one row per item and snapshot): keys, ts, item, op, value.
+    """Reverse deltas of full, differing snapshots (see map_changes; one row per item and snapshot): keys, ts, item, op, value.
 
     The newest snapshot is kept as puts. An older one holds, for each item that differs from the next newer snapshot, a put
     of its old value, or an erase if it was not there yet.
