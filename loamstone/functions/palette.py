@@ -74,9 +74,7 @@ def unpack_indices(cells: np.ndarray, bits: int, n: int) -> np.ndarray:
     return ((cells.view(np.uint64)[:, None] >> shifts) & np.uint64((1 << bits) - 1)).ravel()[:n].astype(np.int64)
 
 
-@F.pandas_udf("struct<single int, cells array<bigint>, palette array<int>, bits int>")
-def packed(atoms: pd.Series) -> pd.DataFrame:
-    """Palette form of arrays of 0..65535: one value alone, a palette of up to 256 in ascending order, or 16-bit values."""
+def _packed(atoms: pd.Series) -> pd.DataFrame:
     out = []
     for a in atoms:
         if a is None:
@@ -96,6 +94,15 @@ def packed(atoms: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["single", "cells", "palette", "bits"]).astype({"single": "Int32", "bits": "Int32"})
 
 
+def packed(atoms) -> Column:
+    """Palette form of arrays of 0..65535: one value alone, a palette of up to 256 in ascending order, or 16-bit values."""
+
+    def run(atoms: pd.Series) -> pd.DataFrame:
+        return _packed(atoms)
+
+    return F.pandas_udf(run, "struct<single int, cells array<bigint>, palette array<int>, bits int>")(_c(atoms))
+
+
 def unpacked(data, width: int) -> Column:
     """Atoms of a packed struct."""
 
@@ -117,14 +124,17 @@ def unpacked(data, width: int) -> Column:
     return run(_c(data))
 
 
-@F.pandas_udf("string")
-def section_digest(names: pd.Series, index: pd.Series) -> pd.Series:
+def section_digest(names, index) -> Column:
     """SHA-1 over each position's rank among the section's sorted names, whatever the order of its palette."""
-    out = []
-    for n, i in zip(names, index, strict=True):
-        order = {s: r for r, s in enumerate(sorted(n))}
-        out.append(hashlib.sha1(np.array([order[s] for s in n], "<u2")[np.asarray(i)].tobytes()).hexdigest())
-    return pd.Series(out)
+
+    def run(names: pd.Series, index: pd.Series) -> pd.Series:
+        out = []
+        for n, i in zip(names, index, strict=True):
+            order = {s: r for r, s in enumerate(sorted(n))}
+            out.append(hashlib.sha1(np.array([order[s] for s in n], "<u2")[np.asarray(i)].tobytes()).hexdigest())
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "string")(_c(names), _c(index))
 
 
 def palette_table(packed_rows: DataFrame, column: str = "data") -> DataFrame:
