@@ -59,7 +59,8 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
     """Response records of a table of pages (page_id, url, html)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n"))
-    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(31536000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # counted on a clock without zone, so that the session's zone does not matter
+    date = F.expr("date_format(timestampadd(SECOND, cast(pmod(coalesce(page_id, 0), 31536000) as int), timestamp_ntz'2024-01-01 00:00:00'), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
     return pages.select("page_id", uuid_of(F.lit("response"), F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), date.alias("warc_date"), headers.alias("http_headers"), html.alias("payload"))
 
 
