@@ -45,6 +45,13 @@ def palette(atoms) -> Column:
     return F.array_sort(F.array_distinct(_c(atoms)))
 
 
+def palette_as_met(atoms) -> Column:
+    """Distinct atoms in the order in which they first occur."""
+    a = _c(atoms)
+    firsts = F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.array_position(a, p["x"]) == p["i"] + 1)
+    return F.transform(firsts, lambda p: p["x"])
+
+
 def is_single(atoms) -> Column:
     return F.size(F.array_distinct(_c(atoms))) == 1
 

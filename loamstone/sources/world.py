@@ -225,6 +225,33 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(run, schema)
 
 
+def read_tiles(spark: SparkSession, path: str, min_y: int = -64) -> DataFrame:
+    """rx, rz, lx, lz, pos, type, nbt of the tiles of all chunks: place inside the chunk, name, and the rest in canonical bytes.
+
+    Tiles without a name or place, and those outside their chunk, are left out.
+    """
+    schema = "path string, rx int, rz int, lx int, lz int, pos long, type string, nbt binary"
+    place = ("id", "x", "y", "z")
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p, rx, rz, data in pdf.itertuples(index=False):
+                for lx, lz, _, raw in chunks_of(data):
+                    listed = read_tree(raw).value.get("block_entities")
+                    for t in listed.value if listed else []:
+                        if t.tag != 10 or any(k not in t.value for k in place):
+                            continue
+                        name, x, y, z = (t.value[k].value for k in place)
+                        x, z, y = x - (rx * 32 + lx) * 16, z - (rz * 32 + lz) * 16, y - min_y
+                        if 0 <= x <= 0xFF and 0 <= z <= 0xFF and 0 <= y <= 0xFFFF:
+                            rest = Typed(10, {k: v for k, v in t.value.items() if k not in (*place, "keepPacked")})
+                            rows.append((p, rx, rz, lx, lz, y << 16 | z << 8 | x, name, canonical_bytes(rest)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return _files(spark, path).mapInPandas(run, schema)
+
+
 def auxiliary_files(spark: SparkSession, path: str) -> DataFrame:
     """path (below the root), ts, content of all files that are not region files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

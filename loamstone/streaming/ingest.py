@@ -63,3 +63,19 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def windowed_counts(feed: DataFrame, late: str = "10 minutes", width: str = "5 minutes", by: str = "event_type", ts: str = "ts") -> DataFrame:
     """Counts per window of a streaming or static feed with late rows up to `late`."""
     return feed.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", by, "n")
+
+
+def scheduled_ingest(feed: DataFrame, engine, checkpoint: str, interval: str | None = "60 minutes"):
+    """Starts a query that ingests each micro-batch of sections (CHUNK, kind, section, atoms, ts) at its newest time.
+
+    interval: time between batches; None takes what is there, once. Batches run one at a time, and one that fails is run
+    again from the checkpoint. A batch that was committed before a failure is rejected the second time as not newer.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        newest = batch.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            engine.ingest(newest, batch.drop("ts"))
+
+    writer = feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

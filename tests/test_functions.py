@@ -66,6 +66,8 @@ def test_bit_layout_and_sizes(spark):
         palette.unpack_indices(np.zeros(1, np.int64), 16, 5)
     df = spark.createDataFrame([(n,) for n in (1, 2, 16, 17, 256, 257, 300)], "n int")
     got = df.select(palette.bits_per_entry("n"), palette.bits_on_disc("n", True), palette.bits_on_disc("n", False)).collect()
+    met = spark.createDataFrame([([500, 3, 500, 42, 3, 42],)], "a array<int>").select(palette.palette_as_met("a"), palette.palette("a")).first()
+    assert tuple(met) == ([500, 3, 42], [3, 42, 500])
     assert [tuple(r) for r in got] == [(4, 4, 0), (4, 4, 1), (4, 4, 4), (8, 5, 5), (8, 8, 8), (16, 9, 9), (16, 9, 9)]
 
 

@@ -12,7 +12,7 @@ from loamstone.cli import run
 from loamstone.config import Config
 from loamstone.operators import compare
 from loamstone.operators.retention import RetentionPolicy
-from loamstone.sources import container, world
+from loamstone.sources import container, manifest, world
 
 AT = dict(dimension="overworld", rx=-1, rz=2)
 
@@ -118,6 +118,37 @@ def test_world_files(spark, tmp_path):
     assert rows(compare.aux_differences(*aux)) == [("level.dat", "volatile")]
 
 
+def test_world_tiles(spark, tmp_path):
+    (tmp_path / "r.0.0.mca").write_bytes(region({(0, 0): chunk(0, 0)}))
+    row = world.read_tiles(spark, str(tmp_path)).first()
+    assert (row["pos"], row["type"], bytes(row["nbt"])) == ((2 + 64) << 16 | 3 << 8 | 1, "m:chest", b"\x0a\0")
+
+
+def test_manifest(spark):
+    m = manifest.Manifest(777, ("m:air", "m:stone[a=1]"), ())
+    assert manifest.parse(m.text(), m.fingerprint) == m
+    registry = manifest.table(spark, [m, manifest.Manifest(777, ("m:air",), ("m:plains",))])
+    assert manifest.of_table(registry, m.fingerprint, 777) == m
+    for bad in ("x", m.text()[:-30], m.text().replace("fingerprint", "print"), m.text().replace("biomes 0", "biomes 2")):
+        with pytest.raises(manifest.ManifestError):
+            manifest.parse(bad)
+    with pytest.raises(manifest.ManifestError):
+        manifest.parse(m.text(), "0" * 64)
+
+
+def test_scheduled_ingest(spark, tmp_path):
+    from loamstone.api import Engine
+    from loamstone.streaming.ingest import scheduled_ingest
+
+    e = Engine(spark, str(tmp_path / "s"))
+    for ts, atoms in ((1000, [1, 2]), (2000, [1, 9])):
+        sections(spark, {1: atoms}).withColumn("ts", F.lit(ts).cast("long")).write.mode("append").parquet(str(tmp_path / "feed"))
+        feed = spark.readStream.schema(spark.read.parquet(str(tmp_path / "feed")).schema).parquet(str(tmp_path / "feed"))
+        scheduled_ingest(feed, e, str(tmp_path / "c"), None).awaitTermination()
+    assert [x["atoms"] for x in e.restore(1500).sections.collect()] == [[1, 2]]
+    assert [x["atoms"] for x in e.restore(2500).sections.collect()] == [[1, 9]]
+
+
 def test_tree_is_canonical():
     a = world.read_tree(tree({b"b": (3, 1), b"a": (8, b"x")}))
     b = world.read_tree(tree({b"a": (8, b"x"), b"b": (3, 1)}))
