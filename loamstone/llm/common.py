@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -72,8 +73,19 @@ def exploding_columns(df: DataFrame, own: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def rows(fn: Callable, schema: str):
-    """mapInArrow function from one that takes columns as Python lists and returns columns."""
+def trim() -> None:
+    """Gives memory that a task has freed back to the system; a Python worker serves many tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it keeps
+
+
+def rows(fn: Callable, schema: str, step: int = 2048):
+    """mapInArrow function from one that takes columns of at most `step` rows and returns columns."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -81,10 +93,12 @@ def rows(fn: Callable, schema: str):
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.slice(i, step)
                 out = fn(**dict(zip(batch.schema.names, batch.columns, strict=True)))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+        trim()
 
     return run
 

@@ -9,17 +9,55 @@ no key is hot. Owners reply to each chunk with the places whose keys another chu
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import Scratch, mix
+from loamstone.llm.common import Scratch, mix, trim
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 KNOWN = np.uint32(0xFFFFFFFF)
+BLOCK = 1 << 20
+#: A 64-bit number per byte value; a string's hash is their sum weighted with powers of an odd base.
+BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 SENT = "kind int, chunk long, owner int, ids binary, keys binary, places binary"
 
 
+def powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for blocks of BLOCK bytes and some more."""
+    if not _POWERS:
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            p = np.full(BLOCK + 4096, base, np.uint64)
+            p[0] = 1
+            _POWERS.append(np.multiply.accumulate(p))
+    return _POWERS
+
+
+def string_hashes(strings) -> np.ndarray:
+    """64-bit hashes of the strings of a pyarrow string array, whole blocks at a time."""
+    n = len(strings)
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if n and strings.buffers()[2] is not None else np.zeros(0, np.uint8)
+    up, down = powers()
+    out, i = np.empty(n, np.uint64), 0
+    while i < n:
+        j = int(np.searchsorted(ends, ends[i] + BLOCK, side="right")) - 1
+        if j <= i:  # longer than a block
+            out[i] = xxhash.xxh64_intdigest(data[ends[i] : ends[i + 1]])
+            i += 1
+            continue
+        part = data[ends[i] : ends[j]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * up[: len(part)], out=sums[1:])
+        s, e = ends[i:j] - ends[i], ends[i + 1 : j + 1] - ends[i]
+        out[i:j] = mix((sums[e] - sums[s]) * down[s])
+        i = j
+    return out
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of the string a + b from the hashes of its halves."""
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
@@ -121,6 +159,8 @@ def repeated(rows: DataFrame, ids: list[str], scratch: Scratch) -> DataFrame:
                     own, arrays, n, chunk = [[] for _ in ids], [], 0, chunk + 1
         if n:
             yield flush([np.array(o, np.int64) for o in own], arrays)
+        del own, arrays
+        trim()
 
     sent = scratch.keep(rows.mapInArrow(send, SENT), "keys")
 
@@ -137,6 +177,8 @@ def repeated(rows: DataFrame, ids: list[str], scratch: Scratch) -> DataFrame:
         hit &= places[:, 0] != KNOWN
         ends = np.cumsum(sizes)
         out = [(c, places[s:e][hit[s:e]].tobytes()) for c, s, e in zip(pdf["chunk"], ends - sizes, ends, strict=True) if hit[s:e].any()]
+        del keys, places, order, same, hit
+        trim()
         return pd.DataFrame(out, columns=["chunk", "places"])
 
     replies = sent.filter("kind = 1").select("owner", "chunk", "keys", "places").groupBy("owner").applyInPandas(reply, "chunk long, places binary")

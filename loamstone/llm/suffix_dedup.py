@@ -14,8 +14,9 @@ winner: most matches are decided by comparing two numbers, and the others look a
 The merged order gives the common prefix of neighbours for free. Suffixes that share their gram form a group; for each
 member the bytes shared to the right are the smallest common prefix on the way to the other one, and those shared to the
 left come from the baggage. Members that no neighbour explains completely are compared with the distinct members of a
-small group. In large groups, and in groups that reach over a range's edge, their strings are checked exactly by
-exchanging hashes (64 bits) of the strings themselves, so that no group is ever gathered or compared pair by pair.
+small group, or by counting hashes (64 bits) of the strings of a large one, so groups are never compared pair by pair.
+Splitters are cut to the gram, so a group lies in one range unless it is larger than a range; the parts of such a hot
+group exchange the hashes of their strings, so that it is never gathered in one task.
 
 All bytes of all repeated strings are removed, at each place. Null text is empty text; texts under 400 bytes lose
 nothing. Rows with equal id and text are documents of their own and repeat each other. Empty tables give no rows.
@@ -30,8 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import Scratch, mix, rows
-from loamstone.llm.repeats import anchors, owners_of, repeated, runs
+from loamstone.llm.common import Scratch, mix, rows, trim
+from loamstone.llm.repeats import BLOCK, BYTES, anchors, owners_of, powers, repeated, runs
 from loamstone.llm.window_dedup import NO_ID, keyed_documents, mask_of
 
 QUERY = "op3_suffix_merge"
@@ -39,22 +40,8 @@ ORACLE = None  # byte windows of whole tables are out of reach for SQL; tests co
 
 LENGTH = 400
 SMALL_GROUP = 32
-RUN_BYTES = 24 << 20
+RUN_BYTES = 12 << 20
 SAMPLES = 16
-BLOCK = 1 << 20
-_TABLE = np.random.default_rng(2024).integers(1, 1 << 63, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
-
-
-def _powers() -> list[np.ndarray]:
-    if not _POWERS:
-        n = BLOCK + 4096
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.multiply.accumulate(p))
-    return _POWERS
 
 
 def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
@@ -64,10 +51,10 @@ def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if n > BLOCK:
         return np.concatenate([gram_hashes(b[i : i + BLOCK + size - 1], size) for i in range(0, n, BLOCK)])
-    up, down = _powers()
+    up, down = powers()
     sums = np.empty(len(b) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_TABLE[b] * up[: len(b)], out=sums[1:])
+    np.cumsum(BYTES[b] * up[: len(b)], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * down[:n])
 
 
@@ -213,20 +200,23 @@ def _suffixes(raw: bytes, length: int) -> list[tuple[int, bytes, bytes]]:
 
 
 def _splitters(stretches: DataFrame, ranges: int, length: int) -> list[bytes]:
+    """Cuts between ranges from a hashed sample of about ranges * SAMPLES suffixes, which is all that the driver gets."""
+    total = stretches.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    rate = min(1.0, ranges * SAMPLES * _sizes(length)[1] / 2 / max(1, total))  # an anchor stands in every width / 2 bytes
+
     def run(doc, tag, start, **columns):
-        out = [[], []]
+        out = []
         for t, s, b in zip(tag.to_pylist(), start.to_pylist(), columns["bytes"], strict=True):
             found = _suffixes(b.as_py(), length)
             place = mix(np.array([(t ^ (s + a) * 0x2545F4914F6CDD1D) & ((1 << 64) - 1) for a, _, _ in found], np.uint64))
-            for i in np.flatnonzero(place % np.uint64(8) == 0):
-                out[0].append(int(place[i] >> np.uint64(1)))
-                out[1].append(found[i][2])
-        return out
+            out += [found[i][2] for i in np.flatnonzero(place.astype(np.float64) <= rate * 2.0**64)]
+        return [out]
 
-    schema = "place long, suffix binary"
-    # ranges * SAMPLES suffixes of `length` bytes at most
-    sample = sorted(bytes(r["suffix"]) for r in stretches.mapInArrow(rows(run, schema), schema).orderBy("place", "suffix").limit(ranges * SAMPLES).collect())
-    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+    sample = sorted(bytes(r["suffix"]) for r in stretches.mapInArrow(rows(run, "suffix binary"), "suffix binary").collect())
+    gram, _ = _sizes(length)
+    picked = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    hot = {a[:gram] for a, b in zip(picked, picked[1:], strict=False) if a[:gram] == b[:gram]}
+    return sorted({c if c[:gram] in hot else c[:gram] for c in picked} | hot)
 
 
 PART = "range int, doc binary, shared binary, rest_size binary, rest binary, left_size binary, left binary, low int, high int"
@@ -270,10 +260,22 @@ def _sorted_runs(stretches: DataFrame, splitters, length: int) -> DataFrame:
                     found, size = [], 0
         if found:
             yield flush(found)
+        del found
+        trim()
 
     return stretches.mapInArrow(run, PART)
 
 
+def _counted(kinds: dict[tuple[bytes, bytes], list[int]], length: int) -> dict[tuple[bytes, bytes], np.ndarray]:
+    """For each kind of member of a group, which of its strings another kind has too."""
+    hashes = [gram_hashes(np.frombuffer(left + suffix, np.uint8), length) for suffix, left in kinds]
+    flat = np.concatenate(hashes)
+    _, index, n = np.unique(flat, return_inverse=True, return_counts=True)
+    twice = n[index] > 1
+    ends = np.cumsum([len(h) for h in hashes])
+    return {k: twice[e - len(h) : e] for k, h, e in zip(kinds, hashes, ends, strict=True)}
+
+
 class Group:
     """Suffixes that share their gram, in order; edge: whether the group goes on in another range."""
 
@@ -306,23 +308,21 @@ class Group:
             kinds: dict[tuple[bytes, bytes], list[int]] = {}  # one member of each kind, and how many there are
             for i, x in enumerate(m):
                 kinds.setdefault((x[0], x[1]), [i, 0])[1] += 1
-                if len(kinds) > SMALL_GROUP:
-                    break
-            if len(kinds) <= SMALL_GROUP:
-                for i in doubtful:
-                    if kinds[m[i][0], m[i][1]][1] > 1:
-                        proven[i].append((len(m[i][1]), len(m[i][0])))
-                        continue
+            counted = _counted(kinds, length) if len(kinds) > SMALL_GROUP else None
+            for i in doubtful:
+                kind = m[i][:2]
+                if kinds[kind][1] > 1:
+                    proven[i].append((len(kind[1]), len(kind[0])))
+                elif counted is not None:
+                    for s, e in zip(*runs(counted[kind]), strict=True):
+                        proven[i].append((len(kind[1]) - int(s), int(e) - 1 + length - len(kind[1])))
+                else:
                     for j, _ in kinds.values():
                         if j != i:
-                            right = shared_prefix(m[i][0], m[j][0], length // 2)
-                            left = shared_suffix(m[i][1], m[j][1])
+                            right = shared_prefix(kind[0], m[j][0], length // 2)
+                            left = shared_suffix(kind[1], m[j][1])
                             if left + right >= length:
                                 proven[i].append((left, right))
-                doubtful = []
-        if doubtful:
-            open_ += [x for x in m if x[5]]
-            return
         for x, found in zip(m, proven, strict=True):
             if x[5]:
                 for left, right in set(found):
@@ -369,10 +369,13 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
             group.add((streams[part][0][i], left[ends[i] : ends[i + 1]], *ids[i], own), shared)
             group.edge |= not own
         group.settle(length, covers, open_)
+        del streams, more
         out = [(0, d, t, s, e, None) for d, t, s, e in covers]
         for suffix, left, d, t, at, _ in open_:
             keys = gram_hashes(np.frombuffer(left + suffix, np.uint8), length)
             out.append((1, d, t, at - len(left), 0, keys.tobytes()))
+        del covers, open_, group
+        trim()
         return pd.DataFrame(out, columns=["kind", "doc", "tag", "start", "end", "keys"])
 
     return parts.groupBy("range").applyInPandas(run, "kind int, doc long, tag long, start long, end long, keys binary")
@@ -387,21 +390,37 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     splitters = docs.sparkSession.sparkContext.broadcast(_splitters(stretches, ranges, length))
     found = scratch.keep(_merged(_sorted_runs(stretches, splitters, length), length), "merged")
     scratch.drop(stretches)
-    ids = ["doc", "tag", "start"]
-    exact = repeated(found.filter("kind = 1").select(*ids, "keys"), ids, scratch)
+    listed = found.filter("kind = 1").groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "keys"))).alias("p"))
+
+    def concatenated(doc, tag, starts, keys):
+        out = [[], []]
+        for s, k in zip(starts.to_pylist(), keys, strict=True):
+            blobs = k.as_py()
+            out[0].append(np.array([(x, len(b) // 8) for x, b in zip(s, blobs, strict=True)], np.int64).tobytes())
+            out[1].append(b"".join(blobs))
+        return doc, tag, *out
+
+    schema = "doc long, tag long, places binary, keys binary"
+    strings = scratch.keep(listed.select("doc", "tag", F.col("p.start").alias("starts"), F.col("p.keys").alias("keys")).mapInArrow(rows(concatenated, schema), schema), "strings")
+    hits = repeated(strings.select("doc", "tag", "keys"), ["doc", "tag"], scratch)
 
-    def run(doc, tag, start, hits):
+    def run(doc, tag, places, hits):
         out = [[], [], [], []]
-        for d, t, s, h in zip(doc.to_pylist(), tag.to_pylist(), start.to_pylist(), hits, strict=True):
-            at = np.frombuffer(h.as_buffer(), np.uint32).astype(np.int64)
+        for d, t, p, h in zip(doc.to_pylist(), tag.to_pylist(), places, hits, strict=True):
+            starts, sizes = np.frombuffer(p.as_buffer(), np.int64).reshape(-1, 2).T
+            first = np.cumsum(sizes) - sizes
+            i = np.frombuffer(h.as_buffer(), np.uint32).astype(np.int64)
+            stretch = np.searchsorted(first, i, side="right") - 1
+            at = np.unique(starts[stretch] + i - first[stretch])
             new = np.concatenate([[True], np.diff(at) > length])
             for a, b in zip(at[new].tolist(), at[np.append(new[1:], True)].tolist(), strict=True):
-                for column, value in zip(out, (d, t, s + a, s + b + length), strict=True):
+                for column, value in zip(out, (d, t, a, b + length), strict=True):
                     column.append(value)
         return out
 
     schema = "doc long, tag long, start long, end long"
-    both = found.filter("kind = 0").select("doc", "tag", "start", "end").unionByName(exact.mapInArrow(rows(run, schema), schema))
+    exact = strings.select("doc", "tag", "places").join(hits, ["doc", "tag"]).select("doc", "tag", "places", "hits").mapInArrow(rows(run, schema), schema)
+    both = found.filter("kind = 0").select("doc", "tag", "start", "end").unionByName(exact)
     return both.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
@@ -433,7 +452,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "tag": F.xxhash64(own)})
+    # the row travels as one value, so that no column of it can clash with those of the join
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(own).alias("tag"))
     covers = scratch.keep(repeated_strings(keyed_documents(docs).withColumn("text", F.col("text").cast("binary")), scratch, length), "covers")
 
     @F.pandas_udf("string")
@@ -446,10 +466,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    joined = keyed.join(covers.hint("shuffle_hash"), ["doc", "tag"], "left").withColumn("text", cut("text", "starts", "ends"))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    joined = keyed.join(covers.hint("shuffle_hash"), ["doc", "tag"], "left").select("row", cut(F.col("row.text").cast("string"), "starts", "ends").alias("left"))
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return joined.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
