@@ -15,13 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import SPACE, join_bounded
+from loamstone.llm.common import SPACE, Scratch, exploding_columns, join_bounded
 
 QUERY = "op8_host_rules"
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
+ADDED = ["rules", "host_docs", "host_rate", "host_rejected", "kept", "host_key"]
 
 
 def _let(value: Column, body) -> Column:
@@ -107,8 +108,11 @@ def host_verdicts(ruled: DataFrame, host: str, max_rate: float = MAX_HOST_RATE)
 
 
 def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """docs with `rules`, `host_rate`, `host_rejected` and `kept`. Texts are not shuffled."""
-    ruled = base_rules(docs, text)
+    """docs with `rules`, `host_docs`, `host_rate`, `host_rejected` and `kept`. Texts are not shuffled.
+
+    Columns of docs that bear one of these names, in any case, are left out.
+    """
+    ruled = base_rules(docs.select(*exploding_columns(docs, ADDED)), text)
     verdicts = host_verdicts(ruled, host, max_rate)
     keyed = ruled.withColumn("host_key", F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("null")))
     joined = join_bounded(keyed, verdicts, ["host_key"], "left").drop("host_key")
@@ -116,8 +120,6 @@ def apply_rules(docs: DataFrame, host: str = "source", text: str = "text", max_r
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loamstone.llm.common import Scratch
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     # the rules of a document are computed once and kept; only their few numbers are read again
     ruled = Scratch(spark, "hosts").keep(base_rules(docs).drop("text"), "rules")

@@ -170,6 +170,8 @@ def test_suffix_odd_rows(odd, empty):
     out = suffix_dedup.deduplicate(odd).withColumn("h", F.sha2("kept", 256)).collect()
     assert collections.Counter((r["doc"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["h"])) for r in out) == want
     cut = suffix_dedup.without_repeats(odd)
+    clash = odd.select("*", F.lit(1).alias("doc"), F.lit(2).alias("starts"), F.lit(3).alias("row"))
+    assert suffix_dedup.without_repeats(clash).select("doc", "starts", "row").distinct().collect() == [(1, 2, 3)]
     assert cut.columns == odd.columns and cut.count() == odd.count() and cut.filter("text is null").count() == 1
     assert suffix_dedup.deduplicate(empty).count() == 0 and suffix_dedup.without_repeats(empty).count() == 0
 

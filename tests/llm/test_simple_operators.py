@@ -64,7 +64,8 @@ def brute_rules(text):
 
 
 def test_host_rules_odd_rows(odd, empty):
-    out = host_rules.apply_rules(odd)
+    out = host_rules.apply_rules(odd.withColumn("Host_Docs", F.lit(1)))
+    assert out.columns.count("host_docs") == 1 and "Host_Docs" not in out.columns
     assert out.count() == odd.count() and host_rules.apply_rules(empty).count() == 0
     for r in out.collect():
         x = r["rules"]
