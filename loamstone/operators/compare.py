@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Files that change while a world runs, and files that are no world data
 VOLATILE = r"(^|/)level\.dat[^/]*$"
 SKIPPED = r"(^|/)(session\.lock$|\.git/|\.fastback/)|^\.git(attributes|ignore)$"
 
