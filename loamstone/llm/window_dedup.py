@@ -18,28 +18,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import Scratch, rows
-from loamstone.llm.repeats import anchors, doubled, repeated, runs
+from loamstone.llm.repeats import anchors, doubled, repeated, runs, string_hashes
 
 QUERY = "op4_window_doubling"
 ORACLE = None  # DuckDB takes minutes for the windows of whole tables; tests compare with brute force
 
 WIDTH = 35
 NO_ID = -(1 << 63)
-_KNOWN: dict[str, int] = {}
-
-
-def _word_hash(word: str) -> int:
-    found = _KNOWN.get(word)
-    if found is None:
-        if len(_KNOWN) > 400_000:
-            _KNOWN.clear()
-        found = _KNOWN[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return found
 
 
 def word_hashes(texts) -> list[np.ndarray]:
@@ -49,9 +38,7 @@ def word_hashes(texts) -> list[np.ndarray]:
     words = pc.ascii_split_whitespace(texts)
     offsets = np.asarray(words.offsets).astype(np.int64)
     flat = words.flatten()
-    coded = pc.dictionary_encode(flat)
-    known = np.array([_word_hash(w) for w in coded.dictionary.to_pylist()], np.uint64)
-    h = known[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64)
+    h = string_hashes(flat)
     real = np.asarray(pc.binary_length(flat)) > 0  # outer white space leaves empty words
     offsets = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
     h = h[real]
