@@ -17,6 +17,7 @@ table packs to no rows. The driver holds one number per source, `MAX_SOURCES` at
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -34,7 +35,7 @@ ORACLE = None  # BPE ids are not in SQL
 
 PERIOD = 4096
 MAX_SOURCES = 20_000
-CACHED_WORDS = 150_000
+CACHED_WORDS = 100_000
 BATCH = 2048
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict = {}
@@ -60,14 +61,6 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """The word without trailing marks, in lower case if ASCII, and the marks."""
-        bare = word.rstrip(MARKS)
-        if bare and bare[-1].isalpha() and "|>" not in word:  # special tokens hold |>
-            return (bare.lower() if bare.isascii() else bare), word[len(bare) :]
-        return word, ""
-
     def _ids(self, words: list[str]) -> list[bytes]:
         known, older = self.known, self.older
         new = []
@@ -94,21 +87,33 @@ class WordEncoder:
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = np.diff(np.asarray(words.offsets).astype(np.int64))
         coded = words.flatten().dictionary_encode()
-        index = np.asarray(coded.indices).astype(np.int64)
-        parts = [self.parts(w) for w in coded.dictionary.to_pylist()]
-        distinct = list(dict.fromkeys(x for p in parts for x in p))
-        ids_of = dict(zip(distinct, self._ids(distinct), strict=True))
-        blobs = [ids_of[a] + ids_of[b] if b else ids_of[a] for a, b in parts]
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        unique = coded.dictionary
+        bare = pc.utf8_rtrim(unique, characters=MARKS)
+        # special tokens hold |>, and marks after another kind of sign would join it
+        apart = pc.and_(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), pc.invert(pc.match_substring(unique, "|>")))
+        bare = pc.if_else(apart, pc.ascii_lower(bare), unique)
+        tail = pc.if_else(apart, pc.struct_field(pc.extract_regex(unique, f"(?P<tail>[{re.escape(MARKS)}]*)$"), "tail"), "")
+        heads, tails = bare.dictionary_encode(), tail.dictionary_encode()
+        blobs = self._ids(heads.dictionary.to_pylist()) + self._ids(tails.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, blobs), np.int32, len(blobs)) // 4
         pool = np.frombuffer(b"".join(blobs), np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        n = sizes[index]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat(starts[index] - (ends - n), n) + np.arange(n.sum())]
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+        pairs = np.stack([np.asarray(heads.indices), np.asarray(tails.indices) + np.int32(len(heads.dictionary))], axis=1).ravel()
+        pool = _gathered(pool, sizes, pairs)  # ids of the unique words
+        sizes = sizes[pairs].reshape(-1, 2).sum(axis=1, dtype=np.int32)
+        index = np.asarray(coded.indices)
+        ids = _gathered(pool, sizes, index)
+        at = np.concatenate([[0], np.cumsum(sizes[index], dtype=np.int64)])[np.concatenate([[0], np.cumsum(per_text)])]
         return np.insert(ids, at[1:], np.uint32(end_id)), np.diff(at) + 1
 
 
+def _gathered(pool: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The stretches of pool, of these sizes one after another, in the order of index."""
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    n = sizes[index]
+    before = np.cumsum(n, dtype=np.int32) - n
+    return pool[np.repeat(starts[index] - before, n) + np.arange(n.sum(dtype=np.int64), dtype=np.int32)]
+
+
 def _encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
