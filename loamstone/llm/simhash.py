@@ -188,42 +188,190 @@ def _shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], np.uint64))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12, tables: int = 40) -> DataFrame:
-    """Rows of docs without those whose word shingles have a Jaccard similarity of `similarity` or more with the one kept.
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc, cls, shingles: the sorted shingle hashes of each row with a doc_id, and one hash over them all."""
 
-    Two texts of similarity 0.8 differ in 9 bits of 64 on average, more than blocks can cover, so candidates share one of
-    `tables` random choices of bits (as many bits as there are doublings of the corpus) and are at most `radius` apart. The
-    document of smallest doc_id of a component stays; another leaves if its shingles, compared exactly, are similar to that
-    one's; the rest stay too. Rows with the same doc_id stay or leave together; null doc_ids stay. Empty texts are similar.
+    def run(doc, text):
+        sets = [_shingle_set(t, width).tobytes() for t in text.to_pylist()]
+        return doc, np.array([xxhash.xxh64_intdigest(s, 7) for s in sets], np.uint64).view(np.int64), sets
+
+    schema = "doc long, cls long, shingles binary"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    return texts.filter(F.col("doc").isNotNull()).mapInArrow(rows(run, schema), schema)
+
+
+def _frequent(sets: DataFrame, n: int, sample: int = 50_000, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three documents of a sample or more share, sorted, and their counts. They only set an order."""
+
+    def run(shingles):
+        return [np.frombuffer(b"".join(shingles.to_pylist()), np.int64)]
+
+    some = sets if n <= sample else sets.filter(F.pmod(F.xxhash64("cls"), F.lit(n)) < sample)
+    counts = some.select("shingles").mapInArrow(rows(run, "s long"), "s long").groupBy("s").count().filter("count > 2")
+    found = counts.orderBy(F.desc("count"), "s").limit(most).toArrow()
+    hashes, counts = found["s"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _postings(sets: DataFrame, similarity: float, often, width: int = 128) -> DataFrame:
+    """k, doc, cls, n, pos, lo, hi: a row for each shingle of a set's prefix, frequent shingles last.
+
+    Two sets of n and o shingles that are similar share one in their first n - ceil(similarity n) + 1, whatever the order.
+    lo and hi are the parities of the set's shingles in 128 cells.
+    """
+
+    def run(doc, cls, shingles):
+        hashes, counts = often.value
+        keys, sizes, places, parity = [], [], [], []
+        for raw in shingles:
+            s = np.frombuffer(raw.as_buffer(), np.uint64)
+            n = len(s)
+            take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0  # empty sets are one class already
+            if len(hashes) and n:
+                at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+                weight = np.where(hashes[at] == s, counts[at], 0)
+                first = s[np.argsort(weight, kind="stable")[:take]] if weight.any() else s[:take]
+            else:
+                first = s[:take]
+            keys.append(first)
+            sizes.append(n)
+            places.append(np.arange(take, dtype=np.int32))
+            cells = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1
+            parity.append(np.packbits(cells.astype(np.uint8)).view(np.int64))
+        each = np.array([len(x) for x in keys])
+        bits = np.array(parity).reshape(-1, 2)
+        return [
+            np.concatenate(keys).view(np.int64), np.repeat(doc.to_numpy(), each), np.repeat(cls.to_numpy(), each), np.repeat(np.array(sizes, np.int32), each),
+            np.concatenate(places), np.repeat(bits[:, 0], each), np.repeat(bits[:, 1], each),
+        ]
+
+    schema = "k long, doc long, cls long, n int, pos int, lo long, hi long"
+    return sets.select("doc", "cls", "shingles").mapInArrow(rows(run, schema), schema)
+
+
+def _candidates(postings: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """a, b: classes that may be similar, a the one of smaller doc. No similar pair fails the tests of size, place and parity.
+
+    With every, all pairs; else those of members that no smaller one of their key meets, and one pair at least for each
+    other member, so that a cluster of g near copies gives g pairs.
+    """
+    import pyarrow as pa
+
+    def may(x, y):
+        total, least = x[3] + y[3], similarity / (1 + similarity) * (x[3] + y[3]) - 1e-6
+        sized = np.minimum(x[3], y[3]) >= similarity * np.maximum(x[3], y[3]) - 1e-6
+        placed = np.minimum(x[3] - x[4], y[3] - y[4]) >= least
+        apart = np.bitwise_count((x[5] ^ y[5]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[6] ^ y[6]).view(np.uint64))
+        return sized & placed & (apart <= total - 2 * least) & (x[2] != y[2])
+
+    def group(m):
+        met = np.zeros(m.shape[1], bool)
+        for i in range(m.shape[1] - 1):
+            to = np.arange(i + 1, m.shape[1])
+            if met[i] and not every:
+                to = to[~met[to]]
+            if not len(to):
+                continue
+            to = to[may(m[:, i : i + 1], m[:, to])]
+            met[to] = True
+            if len(to):
+                yield np.full(len(to), m[2, i]), m[2, to]
+
+    def found(m):
+        starts = np.flatnonzero(np.r_[True, m[0, 1:] != m[0, :-1]])
+        sizes = np.diff(np.r_[starts, m.shape[1]])
+        two = starts[sizes == 2]
+        two = two[may(m[:, two], m[:, two + 1])]
+        out = [(m[2, two], m[2, two + 1])]
+        for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
+            out.extend(group(m[:, s : s + n]))
+        a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches):
+        parts = []  # of the key at the end, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.array([c.to_numpy().astype(np.int64) for c in batch.columns])
+            if parts and m[0, -1] == parts[0][0, 0]:
+                parts.append(m)
+                continue
+            m = np.concatenate([*parts, m], axis=1)
+            cut = int(np.searchsorted(m[0], m[0, -1]))
+            parts = [m[:, cut:]]
+            if cut:
+                yield found(m[:, :cut])
+        if parts:
+            yield found(np.concatenate(parts, axis=1))
+
+    return postings.repartition("k").sortWithinPartitions("k", "doc", "cls").mapInArrow(run, "a long, b long").distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs whose shingle sets are similar."""
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    few = scratch.keep(join_bounded(sets, needed, ["cls"], "left_semi", 200_000).select("cls", "shingles").dropDuplicates(["cls"]), "sets")
+
+    def run(a, b, x, y):
+        keep = []
+        for p, q in zip(x, y, strict=True):
+            p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= similarity * (len(p) + len(q) - both))
+        keep = np.array(keep, bool)
+        return a.to_numpy()[keep], b.to_numpy()[keep]
+
+    sided = pairs.join(few.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(few.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    out = scratch.keep(sided.select("a", "b", "x", "y").mapInArrow(rows(run, "a long, b long", 256), "a long, b long"), "alike")
+    scratch.drop(few)
+    return out
+
+
+def _settled(pairs: DataFrame, alike: DataFrame) -> DataFrame:
+    """cls: what leaves for good, as it is like one that no smaller one is paired with."""
+    return alike.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("b").alias("cls")).distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Rows of docs without those whose word shingles have a Jaccard similarity of `similarity` or more with one that stays.
+
+    Documents go by rising doc_id: one stays if it is similar to none that stays before it. So no two that stay are similar
+    and each that leaves is similar to one that stays. Equal shingle sets are one class; candidates are drawn by the prefix
+    filter, which misses no similar pair at any size, and compared exactly. Two rounds settle clusters by their first member
+    alone; then all pairs of the rest are drawn. Those can be many only where thousands of documents consist of the same
+    frequent shingles for four fifths and are still not similar. Rows with the same doc_id stay or leave together; null
+    doc_ids stay. Empty texts are similar.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    prints = scratch.keep(fingerprints(docs.filter(F.col("doc_id").isNotNull()), width), "fingerprints")
-    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    bits = min(40, max(12, int(classes.count()).bit_length()))
-    found = scratch.keep(components(links(classes, radius, sampled_masks(tables, bits), scratch), scratch), "components")
-    of_print = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("kept_id"))
-    grouped = scratch.keep(prints.join(of_print, "fp").select("doc_id", "kept_id"), "grouped").filter("doc_id != kept_id").distinct()
-    needed = grouped.unionByName(grouped.select(F.col("kept_id").alias("doc_id"), "kept_id").distinct())
-
-    def sets(doc_id, kept_id, text):
-        return doc_id, kept_id, [_shingle_set(t, width).tobytes() for t in text.to_pylist()]
-
-    schema = "doc_id long, kept_id long, shingles binary"
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = scratch.keep(texts.join(needed.hint("shuffle_hash"), "doc_id").select("doc_id", "kept_id", "text").mapInArrow(rows(sets, schema), schema), "shingles")
-    kept = hashed.filter("doc_id = kept_id").groupBy("kept_id").agg(F.first("shingles").alias("other"))
-
-    def alike(doc_id, shingles, other):
-        out = []
-        for a, b in zip(shingles, other, strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similarity * (len(x) + len(y) - both))
-        return doc_id, out
-
-    schema = "doc_id long, alike boolean"
-    pairs = hashed.filter("doc_id != kept_id").join(kept, "kept_id").select("doc_id", "shingles", "other")
-    leaving = scratch.keep(pairs.mapInArrow(rows(alike, schema), schema).groupBy("doc_id").agg(F.min("alike").alias("alike")).filter("alike").select("doc_id"), "leaving")
+    rest = sets = scratch.keep(_shingle_sets(docs, width), "shingles")
+    classes = scratch.keep(sets.groupBy("cls").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    often = docs.sparkSession.sparkContext.broadcast(_frequent(sets, sets.count()))
+    several = classes.filter("copies > 1").select("cls", "first")
+    rest = join_bounded(sets, several, ["cls"], "left", 200_000).filter("first IS NULL OR first = doc").select("doc", "cls", "shingles")
+    gone = []
+    for every in (False, False, True):
+        pairs = scratch.keep(_candidates(_postings(rest, similarity, often), similarity, every), "pairs")
+        alike = _alike(pairs, sets, similarity, scratch)
+        if every:
+            while alike.limit(1).count():
+                gone.append(scratch.keep(_settled(alike, alike), "gone"))
+                firsts = alike.select("a").distinct().join(alike.select(F.col("b").alias("a")), "a", "left_anti")
+                left = alike.join(firsts, "a", "left_anti").join(gone[-1].select(F.col("cls").alias("a")), "a", "left_anti")
+                alike = scratch.keep(left.join(gone[-1].select(F.col("cls").alias("b")), "b", "left_anti").select("a", "b"), "alike")
+            break
+        gone.append(scratch.keep(_settled(pairs, alike), "gone"))
+        open_ = scratch.keep(pairs.select(F.col("b").alias("cls")).distinct().join(gone[-1], "cls", "left_anti"), "open")
+        if not open_.limit(1).count():
+            break
+        first = classes.join(open_, "cls", "left_semi").select("cls", F.col("first").alias("doc"))
+        rest = scratch.keep(join_bounded(sets, first, ["cls", "doc"], "left_semi", 200_000), "rest")
+    away = gone[0]
+    for more in gone[1:]:
+        away = away.unionByName(more)
+    staying = classes.join(away, "cls", "left_anti").select(F.col("first").alias("doc")).distinct()
+    leaving = scratch.keep(sets.select("doc").distinct().join(staying, "doc", "left_anti").select(F.col("doc").alias("doc_id")), "leaving")
     return docs.join(leaving.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 

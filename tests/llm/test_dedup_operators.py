@@ -102,6 +102,28 @@ def test_near_duplicates(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(odd).columns == odd.columns
 
 
+def similarity(a, b):
+    a, b = (a or "").lower().split(), (b or "").lower().split()
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_of_one_chain(spark):
+    r = random.Random(8)
+    root = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    steps = [root]
+    for i in range(8):  # each is like the one before it, and ever less like the first
+        steps.append(steps[-1][:])
+        steps[-1][i * 30 : i * 30 + 24] = [f"x{r.randrange(10**6)}" for _ in range(24)]
+    texts = {100 + i: " ".join(w) for i, w in enumerate(steps + steps[3:] + steps[2:])}
+    kept = sorted(x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    want = []
+    for d, t in texts.items():
+        if all(similarity(t, texts[k]) < 0.8 for k in want):
+            want.append(d)
+    assert 1 < len(want) < len(steps) and kept == want
+
+
 def brute_windows(texts, width):
     words = [(t or "").encode().split() for t in texts]
     counts = collections.Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
