@@ -124,6 +124,20 @@ def test_near_duplicates_of_one_chain(spark):
     assert 1 < len(want) < len(steps) and kept == want
 
 
+def test_near_duplicates_find_every_close_pair(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(150):  # pairs of similarity 0.80 to 0.85
+        one = [f"w{r.randrange(10**6)}" for _ in range(304)]
+        two = one[:]
+        n = r.randrange(22, 30)
+        two[100 : 100 + n] = [f"x{r.randrange(10**6)}" for _ in range(n)]
+        assert 0.8 <= similarity(" ".join(one), " ".join(two)) < 0.86
+        texts += [" ".join(one), " ".join(two)]
+    kept = {x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
 def brute_windows(texts, width):
     words = [(t or "").encode().split() for t in texts]
     counts = collections.Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
