@@ -95,13 +95,18 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def serialised(records: DataFrame) -> DataFrame:
-    """value: each record in WARC/1.1 form without its closing blank lines."""
+    """value: each record in WARC/1.1 form without its closing blank lines.
+
+    The source's digest and each line of its HTTP headers, in order, are named fields of our own.
+    """
 
     def line(name: str, value: str) -> Column:
         return F.when(F.col(value).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(value).cast("string"), F.lit("\r\n"))).otherwise("")
 
-    names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
-    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *[line(*n) for n in names], F.lit("\r\n"), F.col("block")).alias("value"))
+    names = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "warc_date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+    lines = F.filter(F.split("source_headers", r"\r?\n"), lambda x: x != "")
+    headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("WARC-Source-Header: "), x, F.lit("\r\n"))), "")
+    return records.select(F.concat(F.lit("WARC/1.1\r\n"), *[line(*n) for n in names], F.coalesce(headers, F.lit("")), F.lit("\r\n"), F.col("block")).alias("value"))
 
 
 def write_warc(records: DataFrame, path: str) -> None:

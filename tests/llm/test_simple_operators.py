@@ -48,6 +48,22 @@ def test_warc_file(spark, tmp_path):
         assert b"WARC-Refers-To" in fields and block.endswith(b"\r\n\r\n") and len(block) == int(fields[b"Content-Length"]) + 4
 
 
+def test_warc_file_keeps_source(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(1, "http://a/", "<p>hé</p>")], "page_id long, url string, html string")
+    more = F.concat("http_headers", F.lit('ETag: "x:1"\r\nLast-Modified: Mon, 01 Jan 2024 00:00:00 GMT\r\n'))
+    records = warc.derive(warc.responses_of_pages(pages).withColumn("http_headers", more))
+    warc.write_warc(records.coalesce(1), str(tmp_path / "w"))
+    want = records.first()
+    data = b"".join(gzip.open(p).read() for p in (tmp_path / "w").glob("*.gz")).decode().split("WARC/1.1\r\n")[1:]
+    assert len(data) == 2
+    for record in data:
+        fields = [x.split(": ", 1) for x in record.partition("\r\n\r\n")[0].split("\r\n")]
+        assert "".join(v + "\r\n" for k, v in fields if k == "WARC-Source-Header") == want["source_headers"]
+        assert [v for k, v in fields if k == "WARC-Source-Payload-Digest"] == [want["source_digest"]]
+
+
 def brute_rules(text):
     import re
 
