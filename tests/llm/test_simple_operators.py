@@ -64,6 +64,14 @@ def test_warc_file_keeps_source(spark, tmp_path):
         assert [v for k, v in fields if k == "WARC-Source-Payload-Digest"] == [want["source_digest"]]
 
 
+def test_host_threshold_takes_effect(spark):
+    good, bad = " ".join(f"w{i}" for i in range(30)), "too few words"
+    hosts = {"clean": 0, "mixed": 45, "broken": 95}
+    docs = spark.createDataFrame([(h, bad if i < n else good) for h, n in hosts.items() for i in range(100)], "source string, text string")
+    kept = {r["source"]: r["n"] for r in host_rules.apply_rules(docs).groupBy("source").agg(F.sum(F.col("kept").cast("int")).alias("n")).collect()}
+    assert kept == {"clean": 100, "mixed": 55, "broken": 0}
+
+
 def brute_rules(text):
     import re
 
