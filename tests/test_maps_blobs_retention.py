@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from loamstone.operators import blobs, retention, tiles
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ import struct
 import zlib
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from loamstone.cli import run
