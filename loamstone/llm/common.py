@@ -18,9 +18,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (as in tests)."""
+    """The folder all executors share; where the session names none, a folder of this machine if Spark runs on it alone."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.loamstone.scratch", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loamstone-")
         spark.conf.set("spark.loamstone.scratch", found)
     return found.rstrip("/")
@@ -29,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Intermediate tables in the shared folder. They cut lineage and survive lost executors.
 
-    `keep` writes and rereads a table; `drop` deletes tables that no later step reads.
+    `keep` writes and rereads a table; `drop` deletes tables that no later step reads. What a result that is not read yet
+    still needs goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -49,6 +53,9 @@ class Scratch:
                 self.spark.conf.unset(CLEANUP)
             else:
                 self.spark.conf.set(CLEANUP, before)
+        if self.tables == 1:
+            root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._loamstone_path = path
         return out

@@ -8,8 +8,10 @@ whole columns at once.
 
 Texts are read once; their features are kept and serve both training and scoring. The model is fitted on the driver
 on `max_rows` labelled rows at most (those of smallest hashed id), whatever the corpus; null labels are left out.
-Null text counts as empty and is scored like any other; without usable labels every score is 0.5.
-Documents that repeat are scored each. Other columns are carried along by `classify`.
+Null text counts as empty and is scored like any other; without usable labels every score is 0.5. A very long text is
+read whole, in one row of a task. Equal texts have equal scores. Documents that repeat are scored each; a null doc_id is
+carried, is not held out and trains nothing. Empty tables give no rows. Columns besides `doc_id` and `text` are not read
+by `classify`, and carried by `keep_good` whatever their names.
 """
 
 from __future__ import annotations
@@ -232,4 +234,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "q
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = classify(docs, labels, fold() != 0)
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

@@ -1,26 +1,26 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-A bounded sample fixes a mean, principal axes and rotations that make the signs of the rotated axes fit the data
-(iterative quantisation); every vector gets the code of those signs. Codes are cut into substrings and each
-substring is indexed inside each block of the index. A code within Hamming radius r of a query agrees with it up
-to floor(r / m) bits on one of the m substrings at least (pigeonhole), so probing the lists of all nearby substring
-values finds every code within r. What is found is verified by its whole code and reranked by the exact Euclidean
-distance of the original vectors. Where the probed lists would together be longer than the block, the whole codes
-are compared straight away, which finds the same set.
-
-The radius is the one that holds `target` of the sample's own nearest neighbours; as the whole table is denser than
-the sample, it holds more there. A query that finds fewer than k neighbours is searched again at twice the radius, up
-to all bits, so a query gets k results whenever there are as many candidates.
+A bounded sample fixes a mean, principal axes and several rotations that make the signs of the rotated axes fit the data
+(iterative quantisation); every vector gets the code of those signs. Codes are cut into m substrings of 16 bits and each
+substring is indexed inside each block of the index. A code within Hamming radius r of a query agrees with it up to
+floor(r / m) bits on one of the m substrings at least (pigeonhole), so probing the lists of all nearby substring values
+finds every code within r. Every query is answered by probing, whatever the lengths of the lists. What is found goes on
+to the exact Euclidean distance of the original vectors if its whole code is within `reach`, which is r or wider.
+
+The radius is the smallest m * (t + 1) - 1 whose lists hold `target` of the sample's own nearest neighbours, and the
+reach holds all but a few of them; as the whole table is denser than the sample, both hold more there. A query that finds
+fewer than k neighbours is searched again at twice the radius, up to all bits, so a query gets k results whenever there are
+as many candidates.
 
 Every row is indexed. Queries go out in blocks of `QUERY_BLOCK` at most, which bounds what is broadcast; every block
 of the index returns its k best per query and never a list of candidates. Null or zero vectors, vectors with a null
 or non-finite component, and vectors of another length than most of the sample take no part. Rows that share the
-query's id are the query's own. Ties go to the smaller id. Empty tables give no rows.
+query's id are the query's own; where several rows have it, the smallest vector asks, once. Other repeated rows are
+candidates of their own. Ties go to the smaller id. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,20 +33,22 @@ ORACLE = None  # an approximate search; tests compare with brute force
 
 SAMPLE = 8_000
 QUERY_BLOCK = 4_096
-INDEX_BLOCK = 32_768
+INDEX_BLOCK = 65_536
+SUBSTRING = 16
+_WEIGHTS = np.bitwise_count(np.arange(1 << SUBSTRING, dtype=np.uint16))
 RESULT = "query_id long, vec_id long, score double"
 
 
 class Codes:
     """Mean, axes and rotations; code() gives one row of bytes per vector."""
 
-    def __init__(self, sample: np.ndarray, tables: int = 2, steps: int = 40, seed: int = 5, substring: int = 8):
+    def __init__(self, sample: np.ndarray, tables: int = 2, steps: int = 40, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.mean = sample.mean(0)
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred / max(1, len(sample)))
         dim = sample.shape[1]
-        width = -(-dim // 8) * 8  # codes are whole bytes
+        width = -(-dim // SUBSTRING) * SUBSTRING  # codes are whole substrings
         projections = []
         z = np.pad(centred @ axes[:, ::-1], ((0, 0), (0, width - dim)))
         for _ in range(tables):
@@ -57,7 +59,7 @@ class Codes:
             projections.append(axes[:, ::-1] @ r[:dim])
         self.projection = np.hstack(projections)
         self.bits = self.projection.shape[1]
-        self.parts = self.bits // substring
+        self.parts = self.bits // SUBSTRING
 
     def code(self, x: np.ndarray) -> np.ndarray:
         return np.packbits((x - self.mean) @ self.projection > 0, axis=1)
@@ -67,28 +69,38 @@ def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int32)
 
 
+def values_near(bits: int) -> np.ndarray:
+    """All differences between substrings that are at most `bits` bits apart."""
+    return np.flatnonzero(_WEIGHTS <= bits)
+
+
 class Block:
-    """Index of one block: for each substring (a byte) the rows in order of its value."""
+    """Index of one block: for each substring the rows in order of its value, and where each value's list starts."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in codes.T]
-        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=256))]) for c in codes.T]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code is at most `radius` bits away."""
-        near = radius // self.codes.shape[1]
-        values = np.arange(256, dtype=np.uint8)
-        probes = [np.flatnonzero(np.bitwise_count(values ^ c) <= near) for c in code]
-        if sum(int((s[p + 1] - s[p]).sum()) for s, p in zip(self.starts, probes, strict=True)) >= len(self.codes):
-            rows = np.arange(len(self.codes))
-            return rows[distances(self.codes, code) <= radius]
+        self.codes = np.ascontiguousarray(codes)
+        substrings = self.codes.view(np.uint16).T
+        self.order = [np.argsort(c, kind="stable").astype(np.int32) for c in substrings]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(c, minlength=1 << SUBSTRING))]).astype(np.int32) for c in substrings]
+
+    def probed(self, code: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Rows in the lists of the substring values that differ from the code's own by one of `near`."""
         found = np.zeros(len(self.codes), bool)
-        for order, s, p in zip(self.order, self.starts, probes, strict=True):
-            for v in p:
-                found[order[s[v] : s[v + 1]]] = True
-        rows = np.flatnonzero(found)
-        return rows[distances(self.codes[rows], code) <= radius]
+        for order, starts, own in zip(self.order, self.starts, code.view(np.uint16).astype(np.int64), strict=True):
+            values = near ^ own
+            first = starts[values]
+            n = starts[values + 1] - first
+            some = n > 0
+            first, n = first[some], n[some]
+            found[order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+        return np.flatnonzero(found)
+
+    def within(self, code: np.ndarray, radius: int, reach: int | None = None, near: np.ndarray | None = None) -> np.ndarray:
+        """All rows whose code is at most `radius` bits away, and of the others probed those within `reach`."""
+        if near is None:
+            near = values_near(radius // len(self.order))
+        rows = self.probed(code, near)
+        return rows[distances(self.codes[rows], code) <= max(radius, reach or 0)]
 
 
 def _valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -101,20 +113,24 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
-def _calibrated(codes: Codes, sample: np.ndarray, k: int, target: float) -> int:
-    """Radius that holds `target` of the k nearest of up to 400 sample rows."""
+def _calibrated(codes: Codes, sample: np.ndarray, k: int, target: float) -> tuple[int, int]:
+    """Radius whose lists hold `target` of the k nearest of up to 400 sample rows, and the reach that holds 99.5 % of them."""
     own = codes.code(sample)
-    need = []
+    substrings = own.view(np.uint16)
+    lists, whole = [], []
     for i in range(min(400, len(sample))):
         d = ((sample - sample[i]) ** 2).sum(1)
         d[i] = np.inf
         near = np.argpartition(d, min(k, len(d) - 1))[:k]
-        need += distances(own[near], own[i]).tolist()
-    return int(np.quantile(need, target)) if need else codes.bits
+        lists.append(np.bitwise_count(substrings[near] ^ substrings[i]).min(axis=1))
+        whole.append(distances(own[near], own[i]))
+    near = int(np.quantile(np.concatenate(lists), target, method="higher"))
+    radius = min(codes.bits, codes.parts * (near + 1) - 1)
+    return radius, max(radius, int(np.quantile(np.concatenate(whole), 0.995)))
 
 
-def search(vectors: DataFrame, query_ids, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", sample: int = SAMPLE, target: float = 0.97, tables: int = 4) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row for which query_ids (a condition on vec_id) holds."""
+def search(vectors: DataFrame, query_ids, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", sample: int = SAMPLE, target: float = 0.97, tables: int = 6) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each id for which query_ids (a condition on vec_id) holds."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hashing")
     table = scratch.keep(_valid(vectors, id_column, vector_column), "vectors")
@@ -126,7 +142,7 @@ def search(vectors: DataFrame, query_ids, k: int = 10, id_column: str = "vec_id"
     rows = few["v"].combine_chunks().filter(lengths == dim)
     fitted = _matrix(rows, dim)
     codes = Codes(fitted, tables)
-    radius = _calibrated(codes, fitted, k, target)
+    radius, reach = _calibrated(codes, fitted, k, target)
     model = spark.sparkContext.broadcast(codes)
 
     def encode(batches):
@@ -138,25 +154,28 @@ def search(vectors: DataFrame, query_ids, k: int = 10, id_column: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array([r.tobytes() for r in c], pa.binary())], ["vec_id", "v", "code"])
 
     index = scratch.keep(table.filter(F.size("v") == dim).mapInArrow(encode, "vec_id long, v array<double>, code binary"), "index")
-    queries = index.filter(query_ids)
+    asking = index.filter(query_ids).groupBy("vec_id").agg(F.min(F.struct("v", "code")).alias("q"))
+    queries = scratch.keep(asking.select("vec_id", "q.v", "q.code"), "queries")
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     results = []
     for block in range(blocks):
         # a block is bounded: range of the query ids' hash, split until no block exceeds QUERY_BLOCK
         mine = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks)).isin(2 * block, 2 * block + 1))
-        results.append(_search_block(spark, scratch, index, mine, codes.bits, radius, k, dim))
+        results.append(_search_block(spark, scratch, index, mine, codes.bits, (radius, reach), k, dim))
+    scratch.drop(table)
     found = results[0]
     for r in results[1:]:
         found = found.unionByName(r)
     return found
 
 
-def _search_block(spark, scratch: Scratch, index: DataFrame, queries: DataFrame, bits: int, radius: int, k: int, dim: int) -> DataFrame:
+def _search_block(spark, scratch: Scratch, index: DataFrame, queries: DataFrame, bits: int, radii: tuple[int, int], k: int, dim: int) -> DataFrame:
+    radius, reach = radii
     asked = queries.select("vec_id", "v", "code").limit(2 * QUERY_BLOCK + 1).toArrow()
     if asked.num_rows > 2 * QUERY_BLOCK:
         parts = [queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(radius)), F.lit(2)) == i) for i in (0, 1)]
-        a, b = (_search_block(spark, scratch, index, p, bits, radius, k, dim) for p in parts)
+        a, b = (_search_block(spark, scratch, index, p, bits, radii, k, dim) for p in parts)
         return a.unionByName(b)
     ids = np.asarray(asked["vec_id"])
     vectors = np.asarray(asked["v"].combine_chunks().flatten()).reshape(-1, dim) if len(ids) else np.zeros((0, dim))
@@ -165,7 +184,7 @@ def _search_block(spark, scratch: Scratch, index: DataFrame, queries: DataFrame,
     done = []
     while True:
         shared = spark.sparkContext.broadcast((ids[left], vectors[left], codes[left]))
-        top = _pass(index, shared, radius, k, dim)
+        top = _pass(index, shared, radius, reach, k, dim)
         order = W.partitionBy("query_id").orderBy("score", "vec_id")
         ranked = scratch.keep(top.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "found")
         full = ranked.filter(F.col("rank") == k).select("query_id").toArrow()["query_id"].to_numpy() if len(left) else np.zeros(0)
@@ -173,7 +192,7 @@ def _search_block(spark, scratch: Scratch, index: DataFrame, queries: DataFrame,
         if not len(short) or radius >= bits:
             return _union([*done, ranked])
         done.append(ranked.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids[short]], "query_id long")), "query_id", "left_anti"))
-        left, radius = short, min(bits, max(1, 2 * radius))
+        left, radius, reach = short, min(bits, max(1, 2 * radius)), min(bits, 2 * reach)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -183,8 +202,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _pass(index: DataFrame, shared, radius: int, k: int, dim: int) -> DataFrame:
-    """The k best of each query in each block of the index, among the codes within `radius`."""
+def _pass(index: DataFrame, shared, radius: int, reach: int, k: int, dim: int) -> DataFrame:
+    """The k best of each query in each block of the index, among what `within` finds."""
 
     def run(batches):
         import pyarrow as pa
@@ -195,16 +214,16 @@ def _pass(index: DataFrame, shared, radius: int, k: int, dim: int) -> DataFrame:
             own = np.concatenate([np.asarray(p["vec_id"]) for p in parts])
             x = np.concatenate([_matrix(p["v"], dim) for p in parts])
             c = np.concatenate([np.frombuffer(b"".join(p["code"].to_pylist()), np.uint8).reshape(p.num_rows, -1) for p in parts])
-            block = Block(c)
+            block, near = Block(c), values_near(radius // (c.shape[1] * 8 // SUBSTRING))
             out = [[], [], []]
             for q, v, code in zip(ids, vectors, codes, strict=True):
-                rows = block.within(code, radius)
+                rows = block.within(code, radius, reach, near)
                 rows = rows[own[rows] != q]
                 d = np.sqrt(((x[rows] - v) ** 2).sum(axis=1))
                 if len(rows) > k:
                     edge = np.partition(d, k - 1)[k - 1]
-                    near = d <= edge
-                    rows, d = rows[near], d[near]
+                    best = d <= edge
+                    rows, d = rows[best], d[best]
                 best = np.lexsort((own[rows], d))[:k]
                 out[0].append(np.full(len(best), q))
                 out[1].append(own[rows[best]])

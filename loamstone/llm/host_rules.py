@@ -6,7 +6,7 @@ strength is estimated from the hosts themselves (moments, weighted by documents)
 joined back to its documents: a document is kept if it passes the base rules and its host is not rejected.
 
 Null text has no words and fails `n_words < min_words`. A null host is a host of its own. Empty tables give
-empty results. Repeated rows count as documents of their own. The join's small side is broadcast only after it
+empty results. Very long texts are worked on whole, as one value of one row. Repeated rows count as documents of their own. The join's small side is broadcast only after it
 has been counted; with more hosts Spark shuffles it and splits a host with many documents.
 """
 
@@ -73,17 +73,18 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeated_words(x["words"], 5).cast("long").alias("n_repeat_words"),
         )
 
-    counted = docs.withColumn("_counts", _let(per_text(t), counts))
-    failed = (F.col("_counts.n_words") < MIN_WORDS) | (100 * F.col("_counts.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_counts.n_words"))
-    rules = F.struct(
-        F.col("_counts.n_words"),
-        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.col("_counts.n_dup_lines"),
-        F.col("_counts.n_repeat_words"),
-        failed.alias("base_failed"),
-    )
-    return counted.withColumn("rules", rules).drop("_counts")
+    def rules(c):
+        failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+        return F.struct(
+            c["n_words"].alias("n_words"),
+            F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            c["n_dup_lines"].alias("n_dup_lines"),
+            c["n_repeat_words"].alias("n_repeat_words"),
+            failed.alias("base_failed"),
+        )
+
+    return docs.withColumn("rules", _let(_let(per_text(t), counts), rules))
 
 
 def host_verdicts(ruled: DataFrame, host: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:

@@ -8,7 +8,9 @@ by it inside each partition: a global shuffle that needs no sampling pass and ha
 
 Rates above `STEP` are drawn as a sum of several Poisson variables, so the inversion's table stays short and
 exact. Rows with the same doc_id and source get the same count. Null sources are a source of their own and null
-texts have size 0. A source without size has rate 1. Weights default to the square root of a source's size.
+texts have size 0. A source without size has rate 1. Weights default to the square root of a source's size. Very
+long texts are rows like any other, moved once. Ties of the shuffle key are copies of rows with equal ids. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -71,7 +73,10 @@ def _source_key() -> Column:
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, total_rate: float = 1.0, seed: str = SEED) -> DataFrame:
-    """All columns of docs, and copy_index (from 0), n_copies, shuffle_key, in globally shuffled order."""
+    """Columns of docs, and copy_index (from 0), n_copies, shuffle_key, in globally shuffled order.
+
+    Columns of docs that bear one of these names, or `source_key` or `rate`, in any case, are left out.
+    """
     own = ["copy_index", "n_copies", "shuffle_key", "source_key", "rate"]
     columns = exploding_columns(docs, own)
     rated = join_bounded(docs.select(*columns, _source_key().alias("source_key")), source_rates(docs, weights, total_rate), ["source_key"], "left")

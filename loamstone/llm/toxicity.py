@@ -5,10 +5,11 @@ Words are lower-cased and stripped of outer punctuation. A text's features are t
 the rows once per epoch with per-coordinate learning rates; the L1 term keeps most weights at exactly 0, so what
 is broadcast is a short list of buckets and weights (2^BITS entries at most, whatever the corpus).
 
-Training uses `max_rows` labelled rows at most (those of smallest hashed id), in one task of bounded size; null
-labels are left out. Whole texts are scored. Null or empty text has no features and gets the score of the bias.
-Without usable labels every score is 0.5. Repeated rows are scored each. Labels, language, source and id are
-never features.
+Training uses `max_rows` labelled rows at most (those of smallest hashed id), and of these such with `MAX_GRAMS`
+features at most, so that the one task that trains is of bounded size; null labels are left out. Whole texts are scored,
+however long. Null or empty text has no features and gets the score of the bias. Without usable labels every score is
+0.5. Equal texts have equal scores and repeated rows are scored each; a null doc_id is carried, is not held out and
+trains nothing. Empty tables give no rows. Labels, language, source, id and any other columns are never features.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ ORACLE = None  # a trained model; tests measure held-out accuracy
 
 BITS = 20
 MAX_ROWS = 12_000
+MAX_GRAMS = 1 << 16  # 256 KB a row
 CUTOFF = 0.3
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _KNOWN: dict[str, int] = {}
@@ -99,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_row
 
     schema = "doc_id long, y double, grams binary"
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # max_rows rows at most
-    bags = labelled.mapInArrow(rows(grams, schema), schema).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    bags = labelled.mapInArrow(rows(grams, schema), schema).filter(F.octet_length("grams") <= 4 * MAX_GRAMS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def fit(batches):
         import pyarrow as pa
@@ -146,4 +148,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held_out = fold(folds=4) == 2
     out = classify(docs, labels, ~held_out)
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

@@ -6,8 +6,8 @@ name each other. Ids are UUIDs from a hash of the response id and the record typ
 Everything is DataFrame functions over single rows: one scan, no shuffle, no Python.
 
 Null payloads count as empty ones and still give both records; a null URI or date stays null; a null response id gives
-records with the id of the empty string. Repeated responses give repeated records. An empty table gives no rows.
-Columns of the input besides `record_id target_uri warc_date http_headers payload` are carried along, but for
+records with the id of the empty string. Repeated responses give repeated records, with equal ids. Very long payloads are
+worked on whole, as one value of one row. An empty table gives no rows. Columns of the input besides `record_id target_uri warc_date http_headers payload` are carried along, but for
 those whose names, in any case, are those of the output.
 """
 
@@ -69,8 +69,9 @@ def derive(responses: DataFrame) -> DataFrame:
     other = exploding_columns(responses, [*SOURCE, *RECORD])
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     headers = F.coalesce(F.col("http_headers").cast("string"), F.lit(""))
+    carried = (F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(0)).alias("other")  # as one value, so no name can clash
     parsed = responses.select(
-        *other, F.col("record_id").alias("refers_to"), "target_uri", F.col("warc_date").cast("string").alias("warc_date"), headers.alias("source_headers"), digest(payload).alias("source_digest"),
+        carried, F.col("record_id").alias("refers_to"), "target_uri", F.col("warc_date").cast("string").alias("warc_date"), headers.alias("source_headers"), digest(payload).alias("source_digest"),
         plain_text(payload).alias("_text"), plain_text(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title", 1)).alias("_title"),
         F.size(F.regexp_extract_all(payload, F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("_links"), F.octet_length(payload).alias("_bytes"),
     )
@@ -87,9 +88,9 @@ def derive(responses: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("warc_type"), own.alias("record_id"), sibling.alias("concurrent_to"), F.lit(content_type).alias("content_type"), block.alias("block"))
 
     both = F.array(record("metadata", metadata_id, conversion_id, "application/warc-fields", fields), record("conversion", conversion_id, metadata_id, "text/plain; charset=utf-8", F.col("_text")))
-    out = parsed.select(*other, "refers_to", "target_uri", "warc_date", "source_headers", "source_digest", F.explode(both).alias("r"))
+    out = parsed.select("other", "refers_to", "target_uri", "warc_date", "source_headers", "source_digest", F.explode(both).alias("r"))
     return out.select(
-        *other, "r.warc_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "warc_date", "r.content_type", "source_headers", "source_digest",
+        *[F.col("other")[c].alias(c) for c in other], "r.warc_type", "r.record_id", "refers_to", "r.concurrent_to", "target_uri", "warc_date", "r.content_type", "source_headers", "source_digest",
         "r.block", digest(F.col("r.block")).alias("block_digest"), F.octet_length("r.block").cast("long").alias("content_length"),
     )
 

@@ -1,13 +1,17 @@
 """WARC, host rules, replication, toxicity, quality, search: odd inputs, SQL, held-out accuracy, recall."""
 
+import collections
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamstone.llm import gam, hash_search, host_rules, replication, toxicity, warc
+from loamstone.llm import gam, hash_search, host_rules, replication, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents pages labels embeddings".split()
@@ -176,6 +180,46 @@ def test_search_recall(spark):
     assert n == 10 * (ids % 100 == 0).sum() and hit / n > 0.9
 
 
+def test_probing_alone_finds_the_neighbours(spark):
+    """No list is longer than the block would be, and the lists hold the neighbours."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x, ids = np.array(table["embedding"].tolist(), np.float64), table["vec_id"].to_numpy()
+    codes = hash_search.Codes(x, 6)
+    radius, reach = hash_search._calibrated(codes, x, 10, 0.97)
+    block = hash_search.Block(codes.code(x))
+    near = hash_search.values_near(radius // codes.parts)
+    hit, share, listed = [], [], []
+    for q in np.flatnonzero(ids % 100 == 0):
+        code = block.codes[q]
+        rows = block.probed(code, near)
+        want = np.bitwise_count(block.codes.view(np.uint16) ^ code.view(np.uint16)).min(axis=1) <= radius // codes.parts
+        assert rows.tolist() == np.flatnonzero(want).tolist()  # nothing but what probing reaches
+        found = block.within(code, radius, reach, near)
+        assert set(found) <= set(rows) and set(np.flatnonzero(hash_search.distances(block.codes, code) <= radius)) <= set(found)
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit.append(np.isin(np.argsort(d)[:10], found).mean())
+        share.append(len(rows) / len(x))
+    assert np.mean(hit) >= 0.9 and np.mean(share) < 0.7
+
+
+def test_search_repeated_rows(spark):
+    r = np.random.default_rng(0)
+    data = [(i, [float(v) for v in r.normal(size=4)]) for i in range(40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    again = df.unionByName(df.filter("vec_id % 10 = 0")).unionByName(df.filter("vec_id = 20"))  # each query's row twice or thrice
+    out = hash_search.search(again, F.col("vec_id") % 10 == 0).collect()
+    assert len({(r["query_id"], r["rank"]) for r in out}) == len(out) == 40
+    x = {i: np.array(v, np.float32).astype(float) for i, v in data}
+    rows, hit = [i for i, _ in data] + [0, 10, 20, 30, 20], 0
+    for q in (0, 10, 20, 30):  # copies of other queries are candidates of their own
+        near = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in rows if i != q)
+        got = [(r["score"], r["vec_id"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == sorted(got) and not collections.Counter(got) - collections.Counter(near)
+        hit += sum((collections.Counter(got) & collections.Counter(near[:10])).values())
+    assert hit >= 36
+
+
 def test_search_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, []), (100, [0.0, 1.0]), (9, [1.0, 0.0])]
@@ -194,3 +238,130 @@ def test_pigeonhole_finds_all_within_radius():
     for radius in (0, 3, 7, 15, 31, 50):
         want = np.flatnonzero(hash_search.distances(codes, codes[0]) <= radius)
         assert sorted(block.within(codes[0], radius).tolist()) == want.tolist()
+
+
+CLASHES = ["_text", "_title", "_links", "_bytes", "r", "_counts", "fp", "f", "y", "score", "cls", "doc", "tag", "starts", "first", "rate", "Source_Key", "grams", "x", "h"]
+
+
+def test_clashing_names(spark, odd):
+    extra = [F.lit(c).alias(c) for c in CLASHES]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    pages = spark.createDataFrame([(1, "http://a/", "<title>t</title><p>x</p>")], "page_id long, url string, html string")
+    records = warc.derive(warc.responses_of_pages(pages).select("*", *extra))
+    assert records.select(*CLASHES).distinct().collect() == [tuple(CLASHES)] and records.count() == 2
+    ruled = host_rules.apply_rules(odd.drop("rules").select("*", *extra))
+    assert ruled.select(*CLASHES).distinct().collect() == [tuple(CLASHES)] and ruled.count() == odd.count()
+    docs = odd.drop("rules").select("*", *extra)
+    assert gam.classify(docs, labels, gam.fold() != 0).count() == toxicity.classify(docs, labels, gam.fold() != 0).count() == odd.count()
+    kept = gam.keep_good(docs, labels, gam.fold() != 0)
+    assert kept.columns == docs.columns and kept.select(*CLASHES).distinct().collect() == [tuple(CLASHES)]
+    near = simhash.near_duplicates(docs)
+    assert near.columns == docs.columns and near.select(*CLASHES).distinct().collect() == [tuple(CLASHES)]
+    assert simhash.components_of(docs).count() == odd.count()
+
+
+@pytest.mark.parametrize("module", [gam, toxicity])
+def test_equal_texts_score_alike_and_null_ids_are_not_held_out(spark, odd, module, tmp_path):
+    out = module.classify(odd, spark.read.parquet(f"{SF}/labels.parquet"), gam.fold() != 0)
+    scores = collections.defaultdict(set)
+    for r in odd.select("doc_id", "text").join(out, "doc_id").collect():
+        scores[r["text"] or ""].add(r["score"])
+    assert all(len(s) == 1 for s in scores.values())
+    odd.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    got = module.query(spark, str(tmp_path)).collect()
+    assert len(got) == odd.count() and all(isinstance(r["held_out"], bool) for r in got)
+    assert [r["held_out"] for r in got if r["doc_id"] is None] == [False]
+
+
+def test_quality_scores_equal_plain_python(spark):
+    from bisect import bisect_right
+    from math import exp
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    learn = gam.fold() != 0
+    model = gam.train(gam.featured(docs), labels, "quality", learn)
+    got = {r["doc_id"]: r["score"] for r in gam.classify(docs, labels, learn).collect()}
+    for r in docs.collect():
+        f = [float(np.float32(v)) for v in gam.features(r["text"])]
+        at = [bisect_right([float(e) for e in edges], v) for edges, v in zip(model.edges, f, strict=True)]
+        raw = model.bias + sum(float(table[k]) for table, k in zip(model.tables, at, strict=True))
+        for i, j, table in model.pairs:
+            a, b = (min(7, at[k] * 8 // (len(model.edges[k]) + 1)) for k in (i, j))
+            raw += float(table[a][b])
+        assert abs(1 / (1 + exp(-raw)) - got[r["doc_id"]]) < 1e-9
+
+
+def test_quality_tree_takes_the_best_cut():
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        g, h = r.normal(size=9), r.random(9) + 0.2
+        tree = gam._split_1d(g, h, 2, 1.0, 0.5)
+
+        best = (1e-9, 9)  # no cut
+        for cut in range(1, 9):
+            parts = [slice(0, cut), slice(cut, 9)]
+            if min(h[p].sum() for p in parts) < 0.5:
+                continue
+            gain = sum(g[p].sum() ** 2 / (h[p].sum() + 1) for p in parts) - g.sum() ** 2 / (h.sum() + 1)
+            if gain > best[0]:
+                best = (gain, cut)
+        want = np.concatenate([np.full(len(g[p]), -g[p].sum() / (h[p].sum() + 1)) for p in (slice(0, best[1]), slice(best[1], 9))])
+        assert np.allclose(tree, want)
+
+
+def plain_grams(text):
+    """Buckets of a text's words, pairs and skip-pairs, one by one."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    bare = [w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or w for w in words]
+    h = [xxhash.xxh64_intdigest(w.encode(), 1) for w in bare]
+    found = {mixed(x) >> 44 for x in h}
+    for gap, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
+        found |= {mixed((a * salt + b) & full) >> 44 for a, b in zip(h, h[gap:], strict=False)}
+    return found
+
+
+def test_toxicity_scores_equal_plain_python(spark):
+    from math import exp
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    learn = gam.fold(folds=4) != 2
+    model = toxicity.train(docs, labels, "toxic", learn)
+    weight = dict(zip(model["bucket"].tolist(), model["weight"].tolist(), strict=True))
+    assert len(weight) > 1
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels, learn).collect()}
+    for r in docs.collect():
+        raw = weight[-1] + sum(weight.get(k, 0.0) for k in plain_grams(r["text"]))
+        assert abs(1 / (1 + exp(-max(-30.0, min(30.0, raw)))) - got[r["doc_id"]]) < 1e-9
+
+
+def test_ftrl_equals_plain_steps():
+    from math import copysign, exp
+
+    r = np.random.default_rng(2)
+    bags = [np.unique(r.integers(0, 40, 12)) for _ in range(200)]
+    y = np.array([float(b.min() < 3) for b in bags])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.7
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k, l1=l1, l2=l2):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - copysign(l1, z[k])) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(len(bags)):
+            w = {int(k): weight(int(k)) for k in bags[i]}
+            w["bias"] = weight("bias", 0.0, 0.01)
+            g = 1 / (1 + exp(-sum(w.values()))) - y[i]
+            for k, x in w.items():
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * x
+                n[k] += g * g
+    got, _ = toxicity.ftrl([b.astype(np.int32) for b in bags], y, 6, alpha, beta, l1, l2, 3)
+    assert np.allclose(got[:40], [weight(k) for k in range(40)]) and (got != 0).any() and (got[:40] == 0).any()
