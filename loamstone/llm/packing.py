@@ -10,9 +10,14 @@ The carried deficit has a closed form: with cumulative shares Q_1 <= Q_2 <= ...
 floor(w * Q_j / P) - floor(w * Q_(j-1) / P) tokens after w windows, which is within one token of its target at
 every window. So a document's pieces follow from its place in its queue alone, and partitions need no talk.
 
+The `MAX_QUEUES` - 1 sources of largest target have queues of their own. However many others there are, they stand
+one after another in one shared queue that is owed the sum of their targets, so every document is packed and what the
+driver plans and broadcasts is bounded (a source of less than a hundredth of a window would else be cut into crumbs).
+
 Documents are tokenised once; ids are kept as 32-bit little-endian bytes. Null text is empty text and has only
-the final id. A null source is a queue of its own. Repeated rows are packed as often as they occur. An empty
-table packs to no rows. The driver holds one number per source, `MAX_SOURCES` at most (more raise ValueError).
+the final id; a very long one is many pieces. A null source is a source of its own, null ids are carried. Repeated rows
+are packed as often as they occur, ties in target go by name. An empty table packs to no rows. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ QUERY = "op6_mixture_packing"
 ORACLE = None  # BPE ids are not in SQL
 
 PERIOD = 4096
-MAX_SOURCES = 20_000
+MAX_QUEUES = 128
+REST = "*"  # the shared queue; keys of sources begin in another way
+BUCKETS = 1024
 CACHED_WORDS = 100_000
 BATCH = 2048
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -223,6 +230,33 @@ def pieces_of(phases: list[tuple], x: int, n: int, window: int) -> list[tuple[in
     return out
 
 
+def _queues(parts: DataFrame, weights: dict[str, float] | None, scratch: Scratch) -> tuple[DataFrame, dict[str, int], dict[str, float]]:
+    """source_key, queue, base (tokens of other sources before it in its queue); tokens and target of each queue."""
+    spark = parts.sparkSession
+    sizes = parts.groupBy("source_key").agg(F.sum("n").alias("n"))
+    if weights:
+        named = spark.createDataFrame([(f"s:{k}", float(w)) for k, w in weights.items()], "source_key string, target double")
+        sizes = join_bounded(sizes, named, ["source_key"], "left").withColumn("target", F.greatest(F.coalesce("target", F.lit(0.0)), F.lit(0.0)))
+    else:
+        sizes = sizes.withColumn("target", F.col("n").cast("double"))
+    sizes = scratch.keep(sizes, "sizes")
+    first = sizes.orderBy(F.desc("target"), "source_key").limit(MAX_QUEUES - 1).collect()
+    own = spark.createDataFrame([(r["source_key"],) for r in first], "source_key string")  # MAX_QUEUES - 1 rows at most
+    others = sizes.join(F.broadcast(own), "source_key", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("source_key"), F.lit(BUCKETS)))
+    per_bucket = others.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("target").alias("target")).orderBy("bucket").collect()  # BUCKETS rows at most
+    bases, at = [], 0
+    for r in per_bucket:
+        bases.append((r["bucket"], at))
+        at += r["n"]
+    earlier = W.partitionBy("bucket").orderBy("source_key").rowsBetween(W.unboundedPreceding, -1)
+    within = others.select("source_key", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("within"))
+    shared = within.join(F.broadcast(spark.createDataFrame(bases, "bucket long, start long")), "bucket").select("source_key", F.lit(REST).alias("queue"), (F.col("start") + F.col("within")).cast("long").alias("base"))
+    queues = own.select("source_key", F.col("source_key").alias("queue"), F.lit(0).cast("long").alias("base")).unionByName(shared)
+    total = {r["source_key"]: r["n"] for r in first} | ({REST: at} if at else {})
+    target = {r["source_key"]: r["target"] for r in first} | ({REST: sum(r["target"] for r in per_bucket)} if at else {})
+    return queues, total, target
+
+
 def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, length: int = 2048, window_sequences: int = 16, end_id: int = 1, carry_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source_key, padded_to (and ids).
 
@@ -232,13 +266,9 @@ def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, le
     scratch = Scratch(spark, "packing")
     tokens = scratch.keep(tokenised(docs, path, end_id), "tokens")
     parts = scratch.keep(tokens.groupBy("source_key", "pid").agg(F.sum("doc_tokens").alias("n")), "parts")
-    sizes = parts.groupBy("source_key").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before packing")
-    sizes = {r["source_key"]: r["n"] for r in sizes}
+    queues, sizes, target = _queues(parts, weights, scratch)
     window = length * window_sequences
-    target = {f"s:{k}": v for k, v in weights.items()} if weights else {s: float(n) for s, n in sizes.items()}
-    own: dict[str, list[tuple]] = {s: [] for s in sizes}
+    own: dict[str, list[tuple]] = {q: [] for q in sizes}
     for p in plan(sizes, target, window):
         for s, at in p["at"].items():
             own[s].append((at, p["first"], p["upto"][s] if "upto" in p else None, p.get("given", {}).get(s)))
@@ -247,14 +277,15 @@ def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, le
     last_pad = 1 << (rest - 1).bit_length() if rest else length
     shared = spark.sparkContext.broadcast(own)
     earlier = W.partitionBy("source_key").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select("source_key", "pid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("before"))
+    before = F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long")
+    offsets = join_bounded(parts.select("source_key", "pid", before.alias("before")), queues, ["source_key"], "inner").select("source_key", "pid", "queue", (F.col("before") + F.col("base")).alias("before"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source_key string, padded_to long" + ", ids binary" * carry_ids
 
-    def run(doc_id, source_key, doc_tokens, x, ids):
+    def run(doc_id, source_key, queue, doc_tokens, x, ids):
         out = [[] for _ in range(9 + carry_ids)]
-        for doc, source, n, x0, blob in zip(doc_id.to_pylist(), source_key.to_pylist(), doc_tokens.to_pylist(), x.to_pylist(), ids, strict=True):
+        for doc, source, q, n, x0, blob in zip(doc_id.to_pylist(), source_key.to_pylist(), queue.to_pylist(), doc_tokens.to_pylist(), x.to_pylist(), ids, strict=True):
             raw = memoryview(blob.as_buffer())
-            for place, at, count in pieces_of(shared.value[source], x0, n, window):
+            for place, at, count in pieces_of(shared.value[q], x0, n, window):
                 while count:
                     sequence, offset = divmod(place, length)
                     k = min(count, length - offset)
@@ -265,7 +296,7 @@ def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, le
                     place, at, count = place + k, at + k, count - k
         return out
 
-    placed = join_bounded(tokens, offsets, ["source_key", "pid"], "inner").select("doc_id", "source_key", "doc_tokens", (F.col("before") + F.col("place")).alias("x"), "ids")
+    placed = join_bounded(tokens, offsets, ["source_key", "pid"], "inner").select("doc_id", "source_key", "queue", "doc_tokens", (F.col("before") + F.col("place")).alias("x"), "ids")
     return placed.mapInArrow(rows(run, schema), schema)
 
 
