@@ -14,7 +14,7 @@ winner: most matches are decided by comparing two numbers, and the others look a
 The merged order gives the common prefix of neighbours for free. Suffixes that share their gram form a group; for each
 member the bytes shared to the right are the smallest common prefix on the way to the other one, and those shared to the
 left come from the baggage. Members that no neighbour explains completely are compared with the distinct members of a
-small group, or by counting hashes (64 bits) of the strings of a large one, so groups are never compared pair by pair.
+small group, or by counting hashes (128 bits) of the strings of a large one, so groups are never compared pair by pair.
 Splitters are cut to the gram, so a group lies in one range unless it is larger than a range; the parts of such a hot
 group exchange the hashes of their strings, so that it is never gathered in one task.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import Scratch, mix, rows, trim
-from loamstone.llm.repeats import BLOCK, BYTES, anchors, owners_of, powers, repeated, runs
+from loamstone.llm.repeats import BLOCK, BYTES, anchors, ordered, owners_of, powers, repeated, runs
 from loamstone.llm.window_dedup import NO_ID, keyed_documents, mask_of
 
 QUERY = "op3_suffix_merge"
@@ -42,19 +42,20 @@ LENGTH = 400
 SMALL_GROUP = 32
 RUN_BYTES = 12 << 20
 SAMPLES = 16
+SPACES = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 
 
-def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
+def gram_hashes(b: np.ndarray, size: int, function: int = 0) -> np.ndarray:
     """Hashes of all grams of `size` bytes of a uint8 array; equal grams have equal hashes wherever they are."""
     n = len(b) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     if n > BLOCK:
-        return np.concatenate([gram_hashes(b[i : i + BLOCK + size - 1], size) for i in range(0, n, BLOCK)])
-    up, down = powers()
+        return np.concatenate([gram_hashes(b[i : i + BLOCK + size - 1], size, function) for i in range(0, n, BLOCK)])
+    up, down = powers(function)
     sums = np.empty(len(b) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(BYTES[b] * up[: len(b)], out=sums[1:])
+    np.cumsum(BYTES[function][b] * up[: len(b)], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * down[:n])
 
 
@@ -268,10 +269,12 @@ def _sorted_runs(stretches: DataFrame, splitters, length: int) -> DataFrame:
 
 def _counted(kinds: dict[tuple[bytes, bytes], list[int]], length: int) -> dict[tuple[bytes, bytes], np.ndarray]:
     """For each kind of member of a group, which of its strings another kind has too."""
-    hashes = [gram_hashes(np.frombuffer(left + suffix, np.uint8), length) for suffix, left in kinds]
-    flat = np.concatenate(hashes)
-    _, index, n = np.unique(flat, return_inverse=True, return_counts=True)
-    twice = n[index] > 1
+    strings = [np.frombuffer(left + suffix, np.uint8) for suffix, left in kinds]
+    hashes = [gram_hashes(b, length) for b in strings]
+    order, same = ordered(np.concatenate(hashes), np.concatenate([gram_hashes(b, length, 1) for b in strings]))
+    same = np.concatenate([[False], same, [False]])
+    twice = np.empty(len(order), bool)
+    twice[order] = same[:-1] | same[1:]
     ends = np.cumsum([len(h) for h in hashes])
     return {k: twice[e - len(h) : e] for k, h, e in zip(kinds, hashes, ends, strict=True)}
 
@@ -324,9 +327,8 @@ class Group:
                             if left + right >= length:
                                 proven[i].append((left, right))
         for x, found in zip(m, proven, strict=True):
-            if x[5]:
-                for left, right in set(found):
-                    covers.append((x[2], x[3], x[4] - left, x[4] + right))
+            if x[5] and found:  # all that is proven holds the anchor, so it is one stretch
+                covers.append((x[2], x[3], x[4] - max(a for a, _ in found), x[4] + max(b for _, b in found)))
 
     def _doubtful(self, i: int, proven: list[tuple[int, int]], length: int) -> bool:
         """Whether some string of the member that its right side allows is not proven."""
@@ -370,15 +372,15 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
             group.edge |= not own
         group.settle(length, covers, open_)
         del streams, more
-        out = [(0, d, t, s, e, None) for d, t, s, e in covers]
+        out = [(0, d, t, s, e, None, None) for d, t, s, e in covers]
         for suffix, left, d, t, at, _ in open_:
-            keys = gram_hashes(np.frombuffer(left + suffix, np.uint8), length)
-            out.append((1, d, t, at - len(left), 0, keys.tobytes()))
+            whole = np.frombuffer(left + suffix, np.uint8)
+            out.append((1, d, t, at - len(left), 0, gram_hashes(whole, length).tobytes(), gram_hashes(whole, length, 1).tobytes()))
         del covers, open_, group
         trim()
-        return pd.DataFrame(out, columns=["kind", "doc", "tag", "start", "end", "keys"])
+        return pd.DataFrame(out, columns=["kind", "doc", "tag", "start", "end", "keys", "checks"])
 
-    return parts.groupBy("range").applyInPandas(run, "kind int, doc long, tag long, start long, end long, keys binary")
+    return parts.groupBy("range").applyInPandas(run, "kind int, doc long, tag long, start long, end long, keys binary, checks binary")
 
 
 def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
@@ -390,19 +392,21 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     splitters = docs.sparkSession.sparkContext.broadcast(_splitters(stretches, ranges, length))
     found = scratch.keep(_merged(_sorted_runs(stretches, splitters, length), length), "merged")
     scratch.drop(stretches)
-    listed = found.filter("kind = 1").groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "keys"))).alias("p"))
+    listed = found.filter("kind = 1").groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct("start", "keys", "checks"))).alias("p"))
 
-    def concatenated(doc, tag, starts, keys):
-        out = [[], []]
-        for s, k in zip(starts.to_pylist(), keys, strict=True):
+    def concatenated(doc, tag, starts, keys, checks):
+        out = [[], [], []]
+        for s, k, c in zip(starts.to_pylist(), keys, checks, strict=True):
             blobs = k.as_py()
             out[0].append(np.array([(x, len(b) // 8) for x, b in zip(s, blobs, strict=True)], np.int64).tobytes())
             out[1].append(b"".join(blobs))
+            out[2].append(b"".join(c.as_py()))
         return doc, tag, *out
 
-    schema = "doc long, tag long, places binary, keys binary"
-    strings = scratch.keep(listed.select("doc", "tag", F.col("p.start").alias("starts"), F.col("p.keys").alias("keys")).mapInArrow(rows(concatenated, schema), schema), "strings")
-    hits = repeated(strings.select("doc", "tag", "keys"), ["doc", "tag"], scratch)
+    schema = "doc long, tag long, places binary, keys binary, checks binary"
+    columns = [F.col(f"p.{c}").alias(a) for c, a in (("start", "starts"), ("keys", "keys"), ("checks", "checks"))]
+    strings = scratch.keep(listed.select("doc", "tag", *columns).mapInArrow(rows(concatenated, schema), schema), "strings")
+    hits = repeated(strings.select("doc", "tag", "keys", "checks"), ["doc", "tag"], scratch)
 
     def run(doc, tag, places, hits):
         out = [[], [], [], []]
@@ -445,10 +449,22 @@ def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(rows(run, schema), schema).withColumn("doc", F.nullif("doc", F.lit(NO_ID)))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def long_runs(b: np.ndarray, mask: np.ndarray, least: int) -> np.ndarray:
+    """mask without its runs that hold fewer than `least` whole words."""
+    gap = np.concatenate([[True], np.isin(b, SPACES), [True]])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])  # of the words
+    mask = mask.copy()
+    for s, e in zip(*runs(mask), strict=True):
+        if np.searchsorted(ends, e, side="right") - np.searchsorted(starts, s) < least:
+            mask[s:e] = False
+    return mask
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """docs (its columns, among them doc_id and text) without the repeated bytes; n_chars, if there, counts the new text.
 
-    A character of which a byte is removed goes whole. Rows all stay, with empty text at least; null text stays null.
+    With `least_words`, a repeated run of bytes goes only if it holds so many whole words. A character of which a byte is
+    removed goes whole. Rows all stay, with empty text at least; null text stays null.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     own = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -462,7 +478,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for t, s, e in zip(text, starts, ends, strict=True):
             if t is not None and s is not None:
                 b = np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)
-                t = b[~mask_of(len(b), s, e)].tobytes().decode("utf-8", "ignore")
+                mask = mask_of(len(b), s, e)
+                if least_words:
+                    mask = long_runs(b, mask, least_words)
+                t = b[~mask].tobytes().decode("utf-8", "ignore")
             out.append(t)
         return pd.Series(out, dtype=object)
 

@@ -7,8 +7,8 @@ reached. At the shorter lengths one window in a long window is enough, the one w
 the long window's content only), so equal long windows look at equal short ones, and nothing is lost. At the full
 length every surviving window is looked at.
 
-Removed is each word that a repeated window covers, at every place where it occurs. Windows are told apart by 64-bit
-hashes of their words. Null text has no words; texts shorter than `width` lose nothing. Rows with equal id and text are
+Removed is each word that a repeated window covers, at every place where it occurs. Windows of the full length are told
+apart by 128 bits, two independent hashes of their words; the shorter ones, which only choose what is looked at, by 64. Null text has no words; texts shorter than `width` lose nothing. Rows with equal id and text are
 documents of their own and repeat each other. Empty tables give no rows. Very long texts are handled in pieces of memory
 proportional to the text.
 """
@@ -31,14 +31,14 @@ WIDTH = 35
 NO_ID = -(1 << 63)
 
 
-def word_hashes(texts) -> list[np.ndarray]:
-    """One array of 64-bit word hashes per text of a pyarrow string array."""
+def word_hashes(texts, function: int = 0) -> list[np.ndarray]:
+    """One array of 64-bit word hashes per text of a pyarrow string array; two functions are independent."""
     import pyarrow.compute as pc
 
     words = pc.ascii_split_whitespace(texts)
     offsets = np.asarray(words.offsets).astype(np.int64)
     flat = words.flatten()
-    h = string_hashes(flat)
+    h = string_hashes(flat, function)
     real = np.asarray(pc.binary_length(flat)) > 0  # outer white space leaves empty words
     offsets = np.concatenate([[0], np.cumsum(real)])[offsets - offsets[0]]
     h = h[real]
@@ -54,18 +54,20 @@ def levels(width: int, least: int = 8) -> list[int]:
 
 
 def _keyed(stretches: DataFrame, ids: list[str], length: int, width: int) -> DataFrame:
-    """ids, keys: the anchors of each stretch at this length."""
+    """ids, keys: the anchors of each stretch at this length; at the full length all windows, with their second hashes as checks."""
+    whole = length == width
 
     def run(**columns):
-        out = []
+        out = [[] for _ in range(1 + whole)]
         text = columns.pop("text")
         for i in range(0, len(text), 256):
-            for h in word_hashes(text[i : i + 256]):
-                g = doubled(h, length) if len(h) >= width else h[:0]
-                out.append(g[anchors(g, width - length + 1)[0]].tobytes())
-        return *columns.values(), out
+            for function, keys in enumerate(out):
+                for h in word_hashes(text[i : i + 256], function):
+                    g = doubled(h, length) if len(h) >= width else h[:0]
+                    keys.append((g if whole else g[anchors(g, width - length + 1)[0]]).tobytes())
+        return *columns.values(), *out
 
-    schema = ", ".join(f"{c} long" for c in ids) + ", keys binary"
+    schema = ", ".join(f"{c} long" for c in ids) + ", keys binary" + ", checks binary" * whole
     return stretches.mapInArrow(rows(run, schema), schema)
 
 

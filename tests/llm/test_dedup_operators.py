@@ -76,20 +76,6 @@ def test_components_of_chains(spark, seed):
     assert {i: got.get(i, i) for i in want} == want
 
 
-def test_large_keys_meet_again(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "LARGE", 4)
-    r = random.Random(1)
-    base = r.getrandbits(60)
-    prints = {i: base ^ (1 << r.randrange(60)) for i in range(40)}
-    unique = {}
-    for i, v in prints.items():
-        unique.setdefault(v, i)
-    nodes = spark.createDataFrame([(i, v) for v, i in unique.items()], "node long, fp long")
-    scratch = Scratch(spark, "t")
-    edges = simhash.links(nodes, 4, simhash.sampled_masks(6, 12), scratch)
-    assert {x["component"] for x in simhash.components(edges, scratch).collect()} == {min(unique.values())}
-
-
 def test_near_duplicates(spark, odd, empty):
     r = random.Random(5)
     base = [f"w{r.randrange(5000)}" for _ in range(400)]
@@ -178,16 +164,20 @@ def test_anchors_depend_on_content(width):
     assert repeats.least(h, width).tolist() == want
 
 
-def brute_bytes(texts, length):
+def brute_masks(texts, length):
     counts = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
     for t in texts:
         edge = np.zeros(len(t) + 1, int)
         for i in range(len(t) - length + 1):
             if counts[t[i : i + length]] > 1:
                 edge[i] += 1
                 edge[i + length] -= 1
-        gone = np.cumsum(edge[:-1]) > 0
+        yield np.cumsum(edge[:-1]) > 0
+
+
+def brute_bytes(texts, length):
+    out = []
+    for t, gone in zip(texts, brute_masks(texts, length), strict=True):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((len(t), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
     return out
@@ -272,6 +262,27 @@ def test_merge_of_small_alphabets(seed):
         assert (mask == want).all()
 
 
+def test_groups_give_one_stretch_a_member():
+    r = random.Random(4)
+    core = bytes(r.randrange(97, 123) for _ in range(220))
+    group = suffix_dedup.Group()
+    for i in range(300):  # of many kinds: each shares another part of its bytes before the core with the others
+        left = bytes(r.randrange(97, 123) for _ in range(r.randrange(0, 100))) + core[: r.randrange(0, 50)]
+        group.add((core, left, i, 0, 1000, True), len(core) if i else 0)
+    group.members.sort()
+    covers, open_ = [], []
+    group.settle(210, covers, open_)
+    assert len(covers) == 300 and not open_ and all(s <= 1000 and e == 1220 for _, _, s, e in covers)
+
+
+def test_long_runs():
+    text = b"aa bb cc dd  ee ff gg"
+    mask = np.zeros(len(text), bool)
+    mask[1:8] = mask[10:19] = True  # 'a bb cc' holds two whole words, 'd  ee ff ' two also
+    assert (suffix_dedup.long_runs(np.frombuffer(text, np.uint8), mask, 2) == mask).all()
+    assert not suffix_dedup.long_runs(np.frombuffer(text, np.uint8), mask, 3).any()
+
+
 def test_repeated_keys(spark):
     r = random.Random(2)
     data = {i: [r.randrange(400) for _ in range(r.randrange(0, 40))] for i in range(60)}
@@ -281,6 +292,23 @@ def test_repeated_keys(spark):
     assert got == {i: w for i, k in data.items() if (w := [j for j, x in enumerate(k) if counts[x] > 1])}
 
 
+def test_no_repeats_at_all(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(80))) for i in range(20)], "doc_id long, text string").repartition(4)
+    assert {r["n_removed"] for r in window_dedup.deduplicate(df).collect()} == {0}
+    assert {r["n_removed"] for r in suffix_dedup.deduplicate(df).collect()} == {0}
+    assert simhash.near_duplicates(df).count() == 20
+
+
+def test_equal_keys_with_other_checks_are_no_repeat(spark):
+    pack = lambda x: bytearray(np.array(x, np.uint64).tobytes())
+    data = [(0, pack([5, 5, 5, 9]), pack([1, 2, 1, 3])), (1, pack([5, 9, 7]), pack([2, 4, 7])), (2, pack([7, 8]), pack([7, 8]))]
+    df = spark.createDataFrame(data, "doc long, keys binary, checks binary").repartition(3, "doc")
+    got = {x["doc"]: np.frombuffer(bytes(x["hits"]), np.uint32).tolist() for x in repeats.repeated(df, ["doc"], Scratch(spark, "t")).collect()}
+    assert got == {0: [0, 1, 2], 1: [0, 2], 2: [0]}
+    text = np.frombuffer(b"some bytes that are hashed twice", np.uint8)
+    assert (suffix_dedup.gram_hashes(text, 8) != suffix_dedup.gram_hashes(text, 8, 1)).all()
+
+
 def check_pieces(pieces, ids, length=2048):
     got = collections.defaultdict(list)
     for p in pieces:
@@ -311,14 +339,25 @@ def test_packing_query(spark):
 
 
 def test_packing_odd_rows(spark, odd, empty):
-    rows = [r for r in odd.collect() if r["doc_id"] is not None]
+    rows = odd.collect()
     ids = dict(zip([r["doc_id"] for r in rows], encoded([r["text"] for r in rows]), strict=True))
-    out = packing.pack(odd.filter("doc_id is not null"), packing.tokenizer_path(), {"src0": 3.0, "src1": 1.0}, window_sequences=2, carry_ids=True).collect()
+    clash = odd.select("*", *[F.lit("x").alias(c) for c in ("queue", "base", "pid", "ids", "Doc_Tokens", "place")])
+    out = packing.pack(clash, packing.tokenizer_path(), {"src0": 3.0, "src1": 1.0}, window_sequences=2, carry_ids=True).collect()
     assert check_pieces(out, ids) == sum(len(ids[r["doc_id"]]) for r in rows)
     assert all(zlib.crc32(bytes(p["ids"])) == p["ids_crc32"] for p in out)
     assert packing.pack(empty, packing.tokenizer_path()).count() == 0
 
 
+def test_packing_of_very_many_sources(spark):
+    docs = spark.range(30_000, numPartitions=4).selectExpr("id AS doc_id", "concat('src', id % 29000) AS source", "concat('some words of ', id) AS text")
+    texts = [f"some words of {i}" for i in range(30_000)]
+    ids = dict(enumerate(encoded(texts)))
+    out = packing.pack(docs, packing.tokenizer_path(), {f"src{i}": 5.0 for i in range(50)})
+    assert check_pieces(out.collect(), ids) == sum(map(len, ids.values()))
+    phases = packing.plan({f"q{i}": 1000 + 37 * i for i in range(packing.MAX_QUEUES)}, {f"q{i}": float(i % 7 + 1) for i in range(packing.MAX_QUEUES)}, 2048)
+    assert sum(len(p["at"]) for p in phases) <= 2 * packing.MAX_QUEUES**2
+
+
 @pytest.mark.parametrize("text", ["Hello, World's café!! don't 'tis 12ab", "Σίσυφος ΟΔΟΣ. x<|endoftext|>y <|startoftext|>", "a\x0bb\x0c\x1c c d é É'S", "🙂🙂... ...a", ""])
 def test_words_encode_as_texts(text):
     import pyarrow as pa
