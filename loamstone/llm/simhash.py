@@ -6,8 +6,12 @@ documents) are joined on those keys, and the Hamming distance is verified inside
 has 2^16 members at most, whatever the corpus, as only 16 bits are free; its links leave it as a spanning
 forest, never as all pairs. Components are then found over the links of distinct fingerprints.
 
-Null text counts as empty; an empty text has fingerprint 0 and is linked like any other. Rows with the same
-doc_id are separate rows. Columns besides `doc_id` and `text` are carried by `near_duplicates` untouched.
+Null text counts as empty; an empty text has fingerprint 0 and is linked like any other. Texts are whole, however
+long: the bits are counted in pieces. A bit that is set in just half of the hashes is 0. Rows with the same doc_id are
+separate rows, and equal texts are one fingerprint with one class; of several doc_ids the smallest names the component.
+A null doc_id is carried and names none unless all doc_ids of its component are null. Empty tables give no rows. Columns
+besides `doc_id` and `text` are not read by `components_of` and are carried by `near_duplicates` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import Scratch, join_bounded, rows
+from loamstone.llm.repeats import repeated
 
 QUERY = "op9_simhash_dedup"
 ORACLE = None  # 64-bit XXH64 and components over links are not in DuckDB's SQL
@@ -95,59 +100,34 @@ def pigeonhole_masks(radius: int) -> list[int]:
     return [sum(((1 << size) - 1) << (size * k) for k in kept) for kept in combinations(range(BLOCKS), BLOCKS - radius)]
 
 
-def sampled_masks(n: int, bits: int, seed: int = 11) -> list[int]:
-    """n random choices of `bits` bits, for radii that blocks cannot cover."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(k) for k in rng.choice(BITS, bits, replace=False)) for _ in range(n)]
+def _forests(groups: DataFrame, radius: int) -> DataFrame:
+    """a, b: forest edges of groups (m: array of node and fp)."""
 
-
-def _forests(groups: DataFrame, radius: int, roots: bool) -> DataFrame:
-    """a, b: forest edges of groups (t, k, m: array of node and fp); with roots also a = b, fp, for each tree's first node."""
-
-    def run(t, k, nodes, fps):
-        out = [[], [], [], [], []]
+    def run(nodes, fps):
+        out = [[], []]
         flat_nodes, flat_fps = np.asarray(nodes.flatten()), np.asarray(fps.flatten()).view(np.uint64)
         ends = np.cumsum(np.diff(np.asarray(nodes.offsets)))
-        for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        for s, e in zip([0, *ends[:-1]], ends, strict=True):
             if e - s == 2:
                 close = (int(flat_fps[s]) ^ int(flat_fps[s + 1])).bit_count() <= radius
                 x, y = (flat_nodes[s : s + 1], flat_nodes[s + 1 : e]) if close else (flat_nodes[:0], flat_nodes[:0])
             else:
                 x, y = _forest(flat_fps[s:e], flat_nodes[s:e], radius)
-            first = ~np.isin(flat_nodes[s:e], y) if roots else np.zeros(e - s, bool)
-            own, prints = flat_nodes[s:e][first], flat_fps[s:e][first].view(np.int64)
-            out[0].append(np.concatenate([np.minimum(x, y), own]))
-            out[1].append(np.concatenate([np.maximum(x, y), own]))
-            out[2].append(np.concatenate([np.zeros(len(x), np.int64), prints]))
-            out[3].append(np.full(len(x) + len(own), t[i].as_py(), np.int32))
-            out[4].append(np.full(len(x) + len(own), k[i].as_py(), np.int64))
+            out[0].append(np.minimum(x, y))
+            out[1].append(np.maximum(x, y))
         return [np.concatenate(c) for c in out]
 
-    schema = "a long, b long, fp long, t int, k long"
-    return groups.select("t", "k", F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps")).mapInArrow(rows(run, schema), schema)
+    schema = "a long, b long"
+    return groups.select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps")).mapInArrow(rows(run, schema), schema)
 
 
-def links(prints: DataFrame, radius: int = 2, masks: list[int] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """a, b: links between distinct fingerprints, as a spanning forest per group. prints: node, fp, both unique.
-
-    With the default masks groups are bounded by their free bits. With other masks a key may be frequent: groups of more
-    than LARGE members are first dealt into salted parts, and the roots of the parts' forests then meet under the key.
-    """
-    bounded = masks is None
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in (masks or pigeonhole_masks(radius))]
+def links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """a, b: links between distinct fingerprints, as a spanning forest per key. prints: node, fp, both unique."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in pigeonhole_masks(radius)]
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])).alias("key")
     keyed = prints.select("node", "fp", key).select("node", "fp", "key.t", "key.k")
-    members = F.collect_list(F.struct("node", "fp")).alias("m")
-    if bounded:
-        return _forests(keyed.groupBy("t", "k").agg(members).filter(F.size("m") > 1), radius, False).select("a", "b").distinct()
-    counts = scratch.keep(keyed.groupBy("t", "k").count().filter("count > 1"), "keys")
-    shared = join_bounded(keyed, counts, ["t", "k"], "inner", 200_000)
-    salted = shared.withColumn("salt", F.when(F.col("count") > LARGE, F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / LARGE))).otherwise(0))
-    parts = salted.groupBy("t", "k", "salt").agg(members, F.max("count").alias("count"))
-    small = _forests(parts.filter(f"count <= {LARGE}"), radius, False).select("a", "b")
-    large = scratch.keep(_forests(parts.filter(f"count > {LARGE}"), radius, True), "salted")
-    meet = large.filter("a = b").groupBy("t", "k").agg(F.collect_list(F.struct(F.col("a").alias("node"), "fp")).alias("m"))
-    return small.unionByName(large.filter("a != b").select("a", "b")).unionByName(_forests(meet, radius, False).select("a", "b")).distinct()
+    groups = keyed.groupBy("t", "k").agg(F.collect_list(F.struct("node", "fp")).alias("m")).filter(F.size("m") > 1)
+    return _forests(groups, radius).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -214,8 +194,8 @@ def _frequent(sets: DataFrame, n: int, sample: int = 50_000, most: int = 300_000
     return hashes[order], counts[order]
 
 
-def _postings(sets: DataFrame, similarity: float, often, width: int = 128) -> DataFrame:
-    """k, doc, cls, n, pos, lo, hi: a row for each shingle of a set's prefix, frequent shingles last.
+def _prefixes(sets: DataFrame, similarity: float, often, width: int = 128) -> DataFrame:
+    """doc, cls, n, lo, hi, keys: the shingles of each set's prefix, frequent shingles last.
 
     Two sets of n and o shingles that are similar share one in their first n - ceil(similarity n) + 1, whatever the order.
     lo and hi are the parities of the set's shingles in 128 cells.
@@ -223,33 +203,47 @@ def _postings(sets: DataFrame, similarity: float, often, width: int = 128) -> Da
 
     def run(doc, cls, shingles):
         hashes, counts = often.value
-        keys, sizes, places, parity = [], [], [], []
+        keys, sizes, parity = [], [], []
         for raw in shingles:
             s = np.frombuffer(raw.as_buffer(), np.uint64)
             n = len(s)
             take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0  # empty sets are one class already
+            first = s[:take]
             if len(hashes) and n:
                 at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                 weight = np.where(hashes[at] == s, counts[at], 0)
-                first = s[np.argsort(weight, kind="stable")[:take]] if weight.any() else s[:take]
-            else:
-                first = s[:take]
-            keys.append(first)
+                if weight.any():
+                    first = s[np.argsort(weight, kind="stable")[:take]]
+            keys.append(first.tobytes())
             sizes.append(n)
-            places.append(np.arange(take, dtype=np.int32))
             cells = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1
             parity.append(np.packbits(cells.astype(np.uint8)).view(np.int64))
-        each = np.array([len(x) for x in keys])
         bits = np.array(parity).reshape(-1, 2)
-        return [
-            np.concatenate(keys).view(np.int64), np.repeat(doc.to_numpy(), each), np.repeat(cls.to_numpy(), each), np.repeat(np.array(sizes, np.int32), each),
-            np.concatenate(places), np.repeat(bits[:, 0], each), np.repeat(bits[:, 1], each),
-        ]
+        return doc, cls, np.array(sizes, np.int32), bits[:, 0], bits[:, 1], keys
 
-    schema = "k long, doc long, cls long, n int, pos int, lo long, hi long"
+    schema = "doc long, cls long, n int, lo long, hi long, keys binary"
     return sets.select("doc", "cls", "shingles").mapInArrow(rows(run, schema), schema)
 
 
+def _postings(prefixes: DataFrame, scratch: Scratch) -> DataFrame:
+    """k, doc, cls, n, pos, lo, hi: a row for each shingle of a prefix that another prefix has too.
+
+    Which these are is found by exchanging the hashes alone, so what only one document has is never sorted.
+    """
+    hits = repeated(prefixes.select("doc", "cls", "keys"), ["doc", "cls"], scratch)
+
+    def run(doc, cls, n, lo, hi, keys, hits):
+        at = [np.frombuffer(h.as_buffer(), np.uint32) for h in hits]
+        found = [np.frombuffer(k.as_buffer(), np.int64)[i] for k, i in zip(keys, at, strict=True)]
+        each = np.array([len(i) for i in at])
+        wide = [np.repeat(c.to_numpy(), each) for c in (doc, cls, n, lo, hi)]
+        return [np.concatenate(found), *wide[:3], np.concatenate(at).astype(np.int32), *wide[3:]]
+
+    schema = "k long, doc long, cls long, n int, pos int, lo long, hi long"
+    joined = prefixes.join(hits.hint("shuffle_hash"), ["doc", "cls"]).select("doc", "cls", "n", "lo", "hi", "keys", "hits")
+    return joined.mapInArrow(rows(run, schema, 512), schema)
+
+
 def _candidates(postings: DataFrame, similarity: float, every: bool) -> DataFrame:
     """a, b: classes that may be similar, a the one of smaller doc. No similar pair fails the tests of size, place and parity.
 
@@ -352,7 +346,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     rest = join_bounded(sets, several, ["cls"], "left", 200_000).filter("first IS NULL OR first = doc").select("doc", "cls", "shingles")
     gone = []
     for every in (False, False, True):
-        pairs = scratch.keep(_candidates(_postings(rest, similarity, often), similarity, every), "pairs")
+        prefixes = scratch.keep(_prefixes(rest, similarity, often), "prefixes")
+        pairs = scratch.keep(_candidates(_postings(prefixes, scratch), similarity, every), "pairs")
+        scratch.drop(prefixes)
         alike = _alike(pairs, sets, similarity, scratch)
         if every:
             while alike.limit(1).count():
