@@ -1,13 +1,14 @@
 """The pipeline: each stage works on all that the one before kept, and on odd rows."""
 
 import collections
+import re
 import zlib
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_dedup_operators import brute_bytes, check_pieces, encoded
+from test_dedup_operators import brute_masks, check_pieces, encoded
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,11 +62,21 @@ def test_passages_go(stages):
     rows = {r["doc_id"]: r["text"] for r in before.collect()}
     cut = {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()}
     assert set(rows) == set(cut)
-    removed = brute_bytes([t.encode() for t in rows.values()], 400)
-    for (d, t), (_, n, _, _) in zip(rows.items(), removed, strict=True):
+    masks = brute_masks([t.encode() for t in rows.values()], 160)
+    changed = 0
+    for (d, t), mask in zip(rows.items(), masks, strict=True):
+        raw, kept = t.encode(), bytearray()
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(int), [0]])))
+        at = 0
+        for s, e in edges.reshape(-1, 2).tolist():
+            whole = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if s <= m.start() and m.end() <= e]
+            if len(whole) >= 50:
+                kept += raw[at:s]
+                at = e
         text, chars = cut[d]
-        assert chars == len(text) and 0 <= len(t.encode()) - n - len(text.encode()) <= 6 * (n // 400 + 1)
-        assert n or text == t
+        assert chars == len(text) and text == (kept + raw[at:]).decode("utf-8", "ignore")
+        changed += text != t
+    assert changed
 
 
 def test_mix_repeats_whole_documents(stages):
@@ -101,3 +112,13 @@ def test_stages_take_odd_rows(spark, odd, empty, name):
     out = stage(spark, odd, SF)
     assert out.count() > 0
     assert stage(spark, empty, SF).count() == 0
+
+
+def test_passage_of_just_over_fifty_words_goes(spark):
+    words = [f"w{i % 10}" for i in range(3000)]
+    r = np.random.default_rng(1)
+    passage = " ".join(r.permutation([f"p{i}" for i in range(52)]))  # about 200 bytes
+    short = " ".join(f"longer{i}word" for i in range(40))  # more bytes, fewer words
+    docs = [(i, " ".join(r.permutation(words)[:80]) + f" {passage if i < 2 else short} " + " ".join(r.permutation(words)[:80]), "en", "s", 0) for i in range(4)]
+    out = {x["doc_id"]: x["text"] for x in corpus_pipeline.repeated_passages(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert all(" ".join(passage.split()[1:-1]) not in out[i] for i in (0, 1)) and all(short in out[i] for i in (2, 3))
