@@ -27,8 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that starts anywhere else go; characters cut in two go whole. Documents all stay."""
-    return suffix_dedup.without_repeats(docs.select(*COLUMNS))
+    """Passages of 50 words or more that stand anywhere else too go; characters cut in two go whole. Documents all stay.
+
+    A passage is what 160-byte strings cover that start at two places (50 words of two letters, and the spaces, have 149).
+    """
+    return suffix_dedup.without_repeats(docs.select(*COLUMNS), length=160, least_words=50)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
