@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.tables = 0
+        if spark.conf.get(ARROW_BYTES, None) == ARROW_DEFAULT:  # a session's own figure stays
+            spark.conf.set(ARROW_BYTES, "8m")  # bounds the texts that are on their way between JVM and Python
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         self.tables += 1

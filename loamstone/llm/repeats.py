@@ -131,13 +131,13 @@ def owners_of(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
-def repeated(rows: DataFrame, ids: list[str], scratch: Scratch) -> DataFrame:
+def repeated(rows: DataFrame, ids: list[str], scratch: Scratch, keyed=None, checked: bool = False) -> DataFrame:
     """ids, hits: for each distinct id with one the places (32-bit) of its keys that occur twice or more.
 
-    rows: the id columns (longs, not null), keys (64-bit, one binary) and, if wanted, checks (likewise). Rows with equal ids
-    must hold equal keys.
+    rows: the id columns (longs, not null), keys (64-bit, one binary) and, if `checked`, checks (likewise); or what `keyed`, a
+    function of Arrow batches, makes these of, in the same worker. Rows with equal ids must hold equal keys.
     """
-    n_ids, owners, checked = len(ids), owners_of(rows), "checks" in rows.columns
+    n_ids, owners = len(ids), owners_of(rows)
 
     def send(batches):
         import pyarrow as pa
@@ -166,7 +166,7 @@ def repeated(rows: DataFrame, ids: list[str], scratch: Scratch) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["kind", "chunk", "owner", "ids", "keys", "checks", "places"])
 
         own, arrays, seconds, n = [[] for _ in ids], [], [], 0
-        for b in batches:
+        for b in keyed(batches) if keyed else batches:
             columns = [np.asarray(b[c]) for c in ids]
             for i, k in enumerate(b["keys"]):
                 a = np.frombuffer(k.as_buffer(), np.uint64)

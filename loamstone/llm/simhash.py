@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import Scratch, join_bounded, rows
+from loamstone.llm.common import Scratch, join_bounded, rows, trim
 from loamstone.llm.repeats import repeated
 
 QUERY = "op9_simhash_dedup"
@@ -31,7 +31,7 @@ ORACLE = None  # 64-bit XXH64 and components over links are not in DuckDB's SQL
 
 BITS = 64
 BLOCKS = 8
-LARGE = 4096
+CELLS = 2048
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -180,30 +180,50 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return texts.filter(F.col("doc").isNotNull()).mapInArrow(rows(run, schema), schema)
 
 
-def _frequent(sets: DataFrame, n: int, sample: int = 50_000, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three documents of a sample or more share, sorted, and their counts. They only set an order."""
+def _frequent(sets: DataFrame, most: int = 300_000, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts, which only set an order: counted in chunks of all sets.
 
-    def run(shingles):
-        return [np.frombuffer(b"".join(shingles.to_pylist()), np.int64)]
+    A shingle is counted in the chunks in which two sets have it, so little leaves a chunk, and none that is frequent
+    everywhere is missed.
+    """
 
-    some = sets if n <= sample else sets.filter(F.pmod(F.xxhash64("cls"), F.lit(n)) < sample)
-    counts = some.select("shingles").mapInArrow(rows(run, "s long"), "s long").groupBy("s").count().filter("count > 2")
-    found = counts.orderBy(F.desc("count"), "s").limit(most).toArrow()
-    hashes, counts = found["s"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    def count(batches):
+        import pyarrow as pa
+
+        def flush(parts):
+            s, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(s[n > 1]), pa.array(n[n > 1])], ["s", "n"])
+
+        parts, size = [], 0
+        for b in batches:
+            for raw in b["shingles"]:
+                parts.append(np.frombuffer(raw.as_py(), np.int64))
+                size += len(parts[-1])
+                if size >= chunk:
+                    yield flush(parts)
+                    parts, size = [], 0
+        if size:
+            yield flush(parts)
+        del parts
+        trim()
+
+    counts = sets.select("shingles").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "s").limit(most).toArrow()
+    hashes, counts = found["s"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
 def _prefixes(sets: DataFrame, similarity: float, often, width: int = 128) -> DataFrame:
-    """doc, cls, n, lo, hi, keys: the shingles of each set's prefix, frequent shingles last.
+    """doc, cls, n, lo, hi, cells, keys: the shingles of each set's prefix, frequent shingles last.
 
     Two sets of n and o shingles that are similar share one in their first n - ceil(similarity n) + 1, whatever the order.
-    lo and hi are the parities of the set's shingles in 128 cells.
+    lo and hi are the parities of the set's shingles in 128 cells; cells those in CELLS cells.
     """
 
     def run(doc, cls, shingles):
         hashes, counts = often.value
-        keys, sizes, parity = [], [], []
+        keys, sizes, parity, fine = [], [], [], []
         for raw in shingles:
             s = np.frombuffer(raw.as_buffer(), np.uint64)
             n = len(s)
@@ -218,10 +238,12 @@ def _prefixes(sets: DataFrame, similarity: float, often, width: int = 128) -> Da
             sizes.append(n)
             cells = np.bincount((s % np.uint64(width)).astype(np.int64), minlength=width) & 1
             parity.append(np.packbits(cells.astype(np.uint8)).view(np.int64))
+            cells = np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+            fine.append(np.packbits(cells.astype(np.uint8)).tobytes())
         bits = np.array(parity).reshape(-1, 2)
-        return doc, cls, np.array(sizes, np.int32), bits[:, 0], bits[:, 1], keys
+        return doc, cls, np.array(sizes, np.int32), bits[:, 0], bits[:, 1], fine, keys
 
-    schema = "doc long, cls long, n int, lo long, hi long, keys binary"
+    schema = "doc long, cls long, n int, lo long, hi long, cells binary, keys binary"
     return sets.select("doc", "cls", "shingles").mapInArrow(rows(run, schema), schema)
 
 
@@ -303,6 +325,24 @@ def _candidates(postings: DataFrame, similarity: float, every: bool) -> DataFram
     return postings.repartition("k").sortWithinPartitions("k", "doc", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
+def _plausible(pairs: DataFrame, prefixes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs whose sets may be similar by the parities in their cells: sets that differ in d shingles differ in d cells at most."""
+    sketch = scratch.keep(prefixes.select("cls", "n", "cells").dropDuplicates(["cls"]), "cells")
+
+    def run(a, b, n, o, x, y):
+        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, CELLS // 64) for c in (x, y))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        total = n.to_numpy().astype(np.int64) + o.to_numpy()
+        keep = apart <= total - 2 * (similarity / (1 + similarity) * total - 1e-6)
+        return a.to_numpy()[keep], b.to_numpy()[keep]
+
+    first, second = (sketch.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("cells").alias(x)) for side, n, x in (("a", "n", "x"), ("b", "o", "y")))
+    sided = pairs.join(first, "a").join(second, "b").select("a", "b", "n", "o", "x", "y")
+    out = scratch.keep(sided.mapInArrow(rows(run, "a long, b long"), "a long, b long"), "plausible")
+    scratch.drop(sketch)
+    return out
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs whose shingle sets are similar."""
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -341,15 +381,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
     scratch = Scratch(docs.sparkSession, "near")
     rest = sets = scratch.keep(_shingle_sets(docs, width), "shingles")
     classes = scratch.keep(sets.groupBy("cls").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    often = docs.sparkSession.sparkContext.broadcast(_frequent(sets, sets.count()))
     several = classes.filter("copies > 1").select("cls", "first")
     rest = join_bounded(sets, several, ["cls"], "left", 200_000).filter("first IS NULL OR first = doc").select("doc", "cls", "shingles")
+    often = docs.sparkSession.sparkContext.broadcast(_frequent(rest))
     gone = []
     for every in (False, False, True):
         prefixes = scratch.keep(_prefixes(rest, similarity, often), "prefixes")
         pairs = scratch.keep(_candidates(_postings(prefixes, scratch), similarity, every), "pairs")
+        alike = _alike(_plausible(pairs, prefixes, similarity, scratch), rest, similarity, scratch)
         scratch.drop(prefixes)
-        alike = _alike(pairs, sets, similarity, scratch)
         if every:
             while alike.limit(1).count():
                 gone.append(scratch.keep(_settled(alike, alike), "gone"))

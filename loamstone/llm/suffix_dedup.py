@@ -152,7 +152,8 @@ def _sizes(length: int) -> tuple[int, int]:
     return length // 2, length - length // 2 + 1
 
 
-def _keyed(docs: DataFrame, length: int) -> DataFrame:
+def _repeated(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """doc, tag, hits: the anchors of each text whose grams are found twice or more."""
     gram, width = _sizes(length)
 
     def run(doc, tag, text):
@@ -167,7 +168,7 @@ def _keyed(docs: DataFrame, length: int) -> DataFrame:
         return doc, tag, out
 
     schema = "doc long, tag long, keys binary"
-    return docs.select("doc", "tag", "text").mapInArrow(rows(run, schema), schema)
+    return repeated(docs.select("doc", "tag", "text"), ["doc", "tag"], scratch, rows(run, schema))
 
 
 def _survivors(joined: DataFrame, length: int) -> DataFrame:
@@ -386,7 +387,7 @@ def _merged(parts: DataFrame, length: int) -> DataFrame:
 def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """doc, tag, starts, ends: bytes that repeated strings cover, per distinct (doc, tag). docs as in keyed_documents, text as binary."""
     ranges = owners_of(docs)
-    hits = repeated(_keyed(docs, length), ["doc", "tag"], scratch)
+    hits = _repeated(docs, length, scratch)
     stretches = scratch.keep(_survivors(docs.join(hits.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "hits"), length), "stretches")
     scratch.drop(hits)
     splitters = docs.sparkSession.sparkContext.broadcast(_splitters(stretches, ranges, length))
@@ -406,7 +407,7 @@ def repeated_strings(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     schema = "doc long, tag long, places binary, keys binary, checks binary"
     columns = [F.col(f"p.{c}").alias(a) for c, a in (("start", "starts"), ("keys", "keys"), ("checks", "checks"))]
     strings = scratch.keep(listed.select("doc", "tag", *columns).mapInArrow(rows(concatenated, schema), schema), "strings")
-    hits = repeated(strings.select("doc", "tag", "keys", "checks"), ["doc", "tag"], scratch)
+    hits = repeated(strings.select("doc", "tag", "keys", "checks"), ["doc", "tag"], scratch, checked=True)
 
     def run(doc, tag, places, hits):
         out = [[], [], [], []]

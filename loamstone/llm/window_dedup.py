@@ -53,8 +53,8 @@ def levels(width: int, least: int = 8) -> list[int]:
     return out
 
 
-def _keyed(stretches: DataFrame, ids: list[str], length: int, width: int) -> DataFrame:
-    """ids, keys: the anchors of each stretch at this length; at the full length all windows, with their second hashes as checks."""
+def _repeated(stretches: DataFrame, ids: list[str], length: int, width: int, scratch: Scratch) -> DataFrame:
+    """ids, hits: the repeated ones of the anchors of each stretch; at the full length of all windows, told apart by two hashes."""
     whole = length == width
 
     def run(**columns):
@@ -68,7 +68,7 @@ def _keyed(stretches: DataFrame, ids: list[str], length: int, width: int) -> Dat
         return *columns.values(), *out
 
     schema = ", ".join(f"{c} long" for c in ids) + ", keys binary" + ", checks binary" * whole
-    return stretches.mapInArrow(rows(run, schema), schema)
+    return repeated(stretches.select(*ids, "text"), ids, scratch, rows(run, schema), whole)
 
 
 def _survivors(joined: DataFrame, length: int, width: int) -> DataFrame:
@@ -103,13 +103,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, width: int = WIDTH) -> D
     steps = levels(width)
     before = None
     for length in steps[:-1]:
-        hits = repeated(_keyed(stretches, ids, length, width), ids, scratch)
+        hits = _repeated(stretches, ids, length, width, scratch)
         after = scratch.keep(_survivors(stretches.join(hits.hint("shuffle_hash"), ids).select(*ids, "text", "hits"), length, width), f"level-{length}")
         if before is not None:
             scratch.drop(before)
         scratch.drop(hits)
         stretches = before = after
-    hits = repeated(_keyed(stretches, ids, width, width), ids, scratch)
+    hits = _repeated(stretches, ids, width, width, scratch)
     if before is not None:
         scratch.drop(before)
 

@@ -303,7 +303,7 @@ def test_equal_keys_with_other_checks_are_no_repeat(spark):
     pack = lambda x: bytearray(np.array(x, np.uint64).tobytes())
     data = [(0, pack([5, 5, 5, 9]), pack([1, 2, 1, 3])), (1, pack([5, 9, 7]), pack([2, 4, 7])), (2, pack([7, 8]), pack([7, 8]))]
     df = spark.createDataFrame(data, "doc long, keys binary, checks binary").repartition(3, "doc")
-    got = {x["doc"]: np.frombuffer(bytes(x["hits"]), np.uint32).tolist() for x in repeats.repeated(df, ["doc"], Scratch(spark, "t")).collect()}
+    got = {x["doc"]: np.frombuffer(bytes(x["hits"]), np.uint32).tolist() for x in repeats.repeated(df, ["doc"], Scratch(spark, "t"), checked=True).collect()}
     assert got == {0: [0, 1, 2], 1: [0, 2], 2: [0]}
     text = np.frombuffer(b"some bytes that are hashed twice", np.uint8)
     assert (suffix_dedup.gram_hashes(text, 8) != suffix_dedup.gram_hashes(text, 8, 1)).all()
