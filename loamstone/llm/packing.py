@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -69,20 +68,24 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some different words."""
         known, older = self.known, self.older
+        out = list(map(known.get, words))
         new = []
-        for w in words:
-            if w not in known:
-                found = older.get(w)
-                if found is None:
-                    new.append(w)
-                else:
-                    known[w] = found
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        out = [known[w] for w in words]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            found = older.get(words[i])
+            if found is None:
+                new.append(i)
+            else:
+                out[i] = known[words[i]] = found
+        for k in range(0, len(new), 10_000):  # many words in one call, each encoded for itself
+            at = new[k : k + 10_000]
+            part = [words[i] for i in at]
+            coded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(coded.ids, "<u4").tobytes()
+            ends = 4 * np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(part) + 1))
+            for i, w, s, e in zip(at, part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                out[i] = known[w] = raw[s:e]
         if len(known) > CACHED_WORDS:
             self.known, self.older = {}, known
         return out
