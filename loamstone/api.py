@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loamstone.functions.coords import BIOME_WIDTH, BLOCK_WIDTH, floor_div32, parse_dimension
 from loamstone.functions.palette import palette
 from loamstone.operators import blobs, chains, inspect, registry, retention, tiles
+from loamstone.sources import container
 from loamstone.sources.store import Store
 
 CHUNK = inspect.CHUNK
@@ -40,11 +41,17 @@ class Engine:
     def ingest(self, ts: int, sections: DataFrame | None = None, tile_items: DataFrame | None = None, states: DataFrame | None = None, files: DataFrame | None = None, manifest: DataFrame | None = None) -> dict[str, int]:
         """Inserts what changed at time ts; returns counts by outcome.
 
-        sections: CHUNK, kind, section, atoms; tile_items: CHUNK, pos, type, nbt (all items of each chunk given);
-        states: CHUNK, type; files: path, content; manifest: epoch, kind, id, name.
+        sections: CHUNK, kind, section, atoms; tile_items: CHUNK, pos, type, nbt (all items of each chunk given; a row with a
+        null pos names a chunk that has none left); states: CHUNK, type; files: path, content; manifest: epoch, kind, id, name.
+        Two rows for one section, item, state or file are a ValueError. States and files that are not newer than what is held,
+        or not different from it, are left out; entries and blobs are only ever added to.
         """
+        for what, df, keys in (("sections", sections, SECTION), ("tile_items", tile_items, [*CHUNK, "pos"]), ("states", states, CHUNK), ("files", files, ["path"])):
+            if df is not None and (twice := df.groupBy(*keys).count().filter("count > 1").first()):
+                raise ValueError(f"{what}: more than one row for {', '.join(str(twice[k]) for k in keys)}")
         changed: dict[str, DataFrame] = {}
         counts: dict[str, int] = {}
+        outcome = None
         if sections is not None:
             batch = sections.select(*SECTION, F.lit(ts).cast("long").alias("ts"), "atoms").withColumn("sector", sector())
             touched = [r[0] for r in batch.select("sector").distinct().collect()]  # sectors of 1,024 regions
@@ -65,36 +72,39 @@ class Engine:
                 new = old.select(*new.columns).unionByName(new)
             changed["chains"] = new
         if tile_items is not None:
-            now = tile_items.select(*CHUNK, F.lit(ts).cast("long").alias("ts"), "pos", F.struct("type", "nbt").alias("item")).withColumn("sector", sector())
-            touched = [r[0] for r in now.select("sector").distinct().collect()]
+            given = tile_items.select(*CHUNK, F.lit(ts).cast("long").alias("ts"), "pos", F.struct("type", "nbt").alias("item")).withColumn("sector", sector())
+            touched = [r[0] for r in given.select("sector").distinct().collect()]
+            now = given.filter("pos is not null")
             old = self.store.read("tiles", touched)
-            if old is None:
-                out = now.withColumn("op", F.lit("put"))
-            else:
-                both = self._tile_step(old, now, ts)
-                out = both
+            out = now.withColumn("op", F.lit("put")) if old is None else self._tile_step(old, now, given.select(*CHUNK).distinct(), ts)
             changed["tiles"] = out.select(*CHUNK, "ts", "pos", "op", "item", "sector")
         if states is not None:
             old = self.store.read("states")
             now = states.select(*CHUNK, F.lit(ts).cast("long").alias("ts"), "type")
-            changed["states"] = chains.type_changes(old.unionByName(now) if old is not None else now, CHUNK)
+            changed["states"] = chains.newer_and_different(old, now, CHUNK, "type") if old is not None else now
         if files is not None:
             now = files.select("path", F.lit(ts).cast("long").alias("ts"), "content")
-            entries, stored = blobs.hashed(now).select("path", "ts", "hash"), blobs.blobs(now)
+            hashed = blobs.hashed(now)
             old, old_blobs = self.store.read("entries"), self.store.read("blobs")
             if old is not None:
-                entries = chains.changes(old.unionByName(entries), ["path"], ["hash"])
-                stored = old_blobs.unionByName(stored.join(old_blobs.select("hash"), "hash", "left_anti"))
-            changed |= {"entries": entries, "blobs": stored}
+                hashed = chains.newer_and_different(old, hashed, ["path"], "hash")
+            stored = hashed.groupBy("hash").agg(F.first("content").alias("content"))
+            if old_blobs is not None:
+                stored = stored.join(old_blobs.select("hash"), "hash", "left_anti")
+            changed |= {"entries": hashed.select("path", "ts", "hash"), "blobs": stored}
         if manifest is not None:
             old = self.store.read("registry")
             changed["registry"] = registry.add_missing(old, manifest) if old is not None else manifest
-        self.store.commit(changed, self.level, "sector")
+        self.store.commit(changed, self.level, "sector", added=("states", "entries", "blobs"))
+        if outcome is not None:
+            outcome.unpersist()
         return counts
 
-    def _tile_step(self, old: DataFrame, now: DataFrame, ts: int) -> DataFrame:
-        """Tile deltas with a new newest snapshot for the chunks in `now` whose tiles changed."""
-        given = now.select(*CHUNK).distinct()
+    def _tile_step(self, old: DataFrame, now: DataFrame, given: DataFrame, ts: int) -> DataFrame:
+        """Tile deltas with a new newest snapshot for the given chunks whose tiles changed.
+
+        A snapshot without items is one row with a null pos, an erase.
+        """
         head = tiles.map_as_of(old, CHUNK, "pos", "item", 1 << 62).join(given, CHUNK, "left_semi")
         differs = ~F.col("a").eqNullSafe(F.col("b"))
         pairs = head.withColumnRenamed("item", "a").join(now.select(*CHUNK, "pos", F.col("item").alias("b")), [*CHUNK, "pos"], "full").filter(differs)
@@ -106,8 +116,10 @@ class Engine:
         replaced = head_ts.join(moved, CHUNK, "left_semi")
         rest = old.join(replaced, [*CHUNK, "ts"], "left_anti")
         fresh = now.join(moved, CHUNK, "left_semi").withColumn("op", F.lit("put"))
+        none = moved.join(now.select(*CHUNK).distinct(), CHUNK, "left_anti").withColumn("ts", F.lit(ts).cast("long")).withColumn("op", F.lit("erase")).withColumn("sector", sector())
+        none = none.withColumn("pos", F.lit(None).cast(now.schema["pos"].dataType)).withColumn("item", F.lit(None).cast(now.schema["item"].dataType))
         columns = [*CHUNK, "ts", "pos", "op", "item", "sector"]
-        return rest.select(*columns).unionByName(delta.select(*columns)).unionByName(fresh.select(*columns))
+        return rest.select(*columns).unionByName(delta.select(*columns)).unionByName(fresh.select(*columns)).unionByName(none.select(*columns))
 
     def prune(self, policy: retention.RetentionPolicy, now: int | None = None, dry_run: bool = False, floor: bool = False) -> dict[str, int]:
         """Removes entries beyond the policy's cutoff, never a newest one, and blobs without references; counts what goes."""
@@ -174,7 +186,7 @@ class Engine:
         return out
 
     def stats(self) -> dict:
-        out: dict = {"segments": 0, "chains": 0, "entries": 0, "min_chain": 0, "max_chain": 0, "avg_chain": 0.0, "tile_deltas": 0, "refs": 0, "distinct_palettes": 0, "dedup_ratio": 1.0, "tracked_files": 0, "blobs": 0, "blob_bytes": 0}
+        out: dict = {"segments": 0, "chains": 0, "entries": 0, "min_chain": 0, "max_chain": 0, "avg_chain": 0.0, "tile_deltas": 0, "refs": 0, "distinct_palettes": 0, "dedup_ratio": 1.0, "tracked_files": 0, "blobs": 0, "blob_bytes": 0} | self.store.usage()
         if (table := self.store.read("chains")) is not None:
             out |= inspect.chain_stats(table, SECTION).first().asDict()
             out["segments"] = table.select(*CHUNK).distinct().count()
@@ -187,13 +199,22 @@ class Engine:
             out |= {k: found[k] for k in ("tracked_files", "blobs", "blob_bytes")}
         return out
 
-    def verify(self) -> DataFrame:
-        """place, problem of everything that is wrong."""
-        table, states, entries, stored = (self.store.read(n) for n in ("chains", "states", "entries", "blobs"))
-        if table is None and states is None and entries is None:
+    def verify(self, regions: str | None = None) -> DataFrame:
+        """place, problem of everything that is wrong; with `regions`, a folder, also with the container files there.
+
+        Where parts of the store cannot be read, only these are told.
+        """
+        broken = self.store.broken() if self.store.exists() else []
+        if broken:
+            return self.spark.createDataFrame(broken, "place string, problem string")
+        table, held, states, entries, stored = (self.store.read(n) for n in ("chains", "tiles", "states", "entries", "blobs"))
+        files = chain = None
+        if regions is not None:
+            read = container.read_regions(self.spark, regions)
+            files, chain = container.region_headers(read), container.chain_rows(read)
+        if all(x is None for x in (table, held, states, entries, files)):
             return self.spark.createDataFrame([], "place string, problem string")
-        ordered = table.withColumn("ordinal", F.row_number().over(W.partitionBy(*SECTION).orderBy(F.col("ts").desc()))) if table is not None else None
-        return inspect.problems(chain=ordered, states=states, entries=entries, store=stored)
+        return inspect.problems(region_files=files, chain=chain, heads=table, tile_heads=held, states=states, entries=entries, store=stored)
 
     def status(self) -> dict:
         span = retention.bounds(self.points()).first()

@@ -76,7 +76,7 @@ def run(argv: list[str], spark=None) -> int:
         for row in engine.verify().toLocalIterator():
             n += 1
             print(f"  {row['place']}: {row['problem']}")
-        print(f"{n} problem(s) found" if n else "OK: the store is consistent")
+        print(f"problems: {n}" if n else "no problems")
         return 1 if n else 0
     if args.command == "diff":
         found = engine.diff(args.older, args.newer, args.deep)

@@ -65,6 +65,14 @@ def checkpoints(states: DataFrame, chain: DataFrame, keys: list[str], value: str
     return chain.join(full, [*keys, ts], "left").select(*keys, ts, F.coalesce("_full", value).alias(value), (F.col("is_full") | F.col("_full").isNotNull()).alias("is_full"))
 
 
+def checkpointed(states: DataFrame, keys: list[str], value: str, every: int, ts: str = "ts") -> DataFrame:
+    """The chain of a history with its checkpoints, in one pass over the states."""
+    w = W.partitionBy(*keys).orderBy(ts)
+    marked = states.withColumn("_newer", F.lead(value).over(w)).withColumn("is_full", F.lead(ts).over(w).isNull() | (F.row_number().over(w) % every == 0))
+    delta = F.zip_with(F.col(value), F.col("_newer"), lambda old, new: F.when(_distinct_from(old, new), old))
+    return marked.select(*keys, ts, F.when(F.col("is_full"), F.col(value)).otherwise(delta).alias(value), "is_full")
+
+
 def deltas_since_full(chain: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Entries behind the newest one and before the next full entry."""
     behind = W.partitionBy(*keys).orderBy(F.col(ts).desc())
@@ -140,6 +148,13 @@ def type_changes(states: DataFrame, keys: list[str], kind: str = "type", ts: str
     return changes(states, keys, [kind], ts)
 
 
+def newer_and_different(old: DataFrame, now: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
+    """Rows of now (one per key) that are newer than their key's newest in old and of another value, or of keys not held."""
+    head = newest(old, keys, 1, ts).select(*keys, F.col(ts).alias("_ts"), F.col(value).alias("_value"))
+    kept = F.col("_ts").isNull() | ((F.col(ts) > F.col("_ts")) & _distinct_from(F.col(value), F.col("_value")))
+    return now.join(head, keys, "left").filter(kept).select(*now.columns)
+
+
 def type_as_of(states: DataFrame, keys: list[str], at: int, kind: str = "type", ts: str = "ts") -> DataFrame:
     """Type of each key at `at` (clamped), with the time asked for."""
     return as_of(states, keys, [kind], at, ts, clamp=True).withColumn(ts, F.lit(at).cast("long"))

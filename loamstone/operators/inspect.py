@@ -89,12 +89,13 @@ def unordered(chain: DataFrame, keys: list[str], place: str = "ordinal") -> Data
 
 def problems(
     region_files: DataFrame | None = None, chain: DataFrame | None = None, states: DataFrame | None = None, entries: DataFrame | None = None, store: DataFrame | None = None,
-    tiles: DataFrame | None = None, protocol: int = PROTOCOL,
+    tiles: DataFrame | None = None, protocol: int = PROTOCOL, heads: DataFrame | None = None, tile_heads: DataFrame | None = None,
 ) -> DataFrame:
     """place, problem of everything that is wrong with the parts given.
 
     region_files: path, dimension, header_dimension, protocol, error; chain: chunk keys, kind, section, ordinal, ts;
-    tiles: chunk keys, ordinal, ts; states: chunk keys, ts; entries and store: as in blobs.
+    tiles: chunk keys, ordinal, ts; states: chunk keys, ts; entries and store: as in blobs; heads: a stored chain (chunk keys,
+    kind, section, ts, is_full, atoms); tile_heads: stored tile deltas (chunk keys, ts, pos, op).
     """
     found = []
 
@@ -115,7 +116,21 @@ def problems(
         add(unordered(chain, [*CHUNK, "kind", "section"]), chunk, F.concat_ws(" ", F.col("kind"), F.lit("section"), F.col("section").cast("string"), F.lit("is not newest first")))
     if tiles is not None:
         add(unordered(tiles, CHUNK), chunk, F.lit("tile deltas are not newest first"))
+    if heads is not None:
+        section = [*CHUNK, "kind", "section"]
+        what = F.concat_ws(" ", F.col("kind"), F.lit("section"), F.col("section").cast("string"))
+        newest = heads.groupBy(*section).agg(F.max_by("is_full", "ts").alias("full"), F.count(F.lit(1)).alias("n"), F.countDistinct("ts").alias("times"), F.countDistinct(F.size("atoms")).alias("sizes"))
+        add(newest.filter("not full"), chunk, F.concat(what, F.lit(": the newest entry is not full")))
+        add(newest.filter("n > times"), chunk, F.concat(what, F.lit(": several entries at one time")))
+        add(newest.filter("sizes > 1"), chunk, F.concat(what, F.lit(": entries of different lengths")))
+    if tile_heads is not None:
+        last = F.max("ts").over(W.partitionBy(*CHUNK))
+        wrong = tile_heads.withColumn("_last", last).filter("ts = _last and op = 'erase' and pos is not null")
+        add(wrong.select(*CHUNK).distinct(), chunk, F.lit("the newest tiles erase an item"))
+        add(tile_heads.groupBy(*CHUNK, "ts", "pos").count().filter("count > 1").select(*CHUNK).distinct(), chunk, F.lit("several tiles at one place and time"))
     if states is not None:
+        twice = states.groupBy(*CHUNK, "ts").count().filter("count > 1").select(*CHUNK).distinct()
+        add(twice, chunk, F.lit("several states at one time"))
         add(states.filter("ts < 0"), chunk, F.lit("negative state time"))
     if entries is not None and store is None:
         lost = entries.agg(F.countDistinct("hash").alias("n")).filter("n > 0")

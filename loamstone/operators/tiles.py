@@ -1,4 +1,7 @@
-"""Histories of keyed maps: put and erase changes per item, as exploded rows."""
+"""Histories of keyed maps: put and erase changes per item, as exploded rows.
+
+A snapshot of one key is one row on its way through a window, so it should fit a row (the items of one chunk do).
+"""
 
 from __future__ import annotations
 
@@ -7,13 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _versions(snapshots: DataFrame, keys: list[str], item: str, value: str, ts: str) -> DataFrame:
+    """keys, ts, _m: each snapshot as one sorted array of items."""
+    return snapshots.groupBy(*keys, ts).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("item"), F.col(value).alias("value")))).alias("_m"))
+
+
 def map_changes(snapshots: DataFrame, keys: list[str], item: str, value: str, ts: str = "ts") -> DataFrame:
-    """Rows of the snapshots whose content differs from the snapshot before; unchanged ones are not kept as versions."""
-    content = F.xxhash64(F.array_sort(F.collect_list(F.struct(item, value))))
-    versions = snapshots.groupBy(*keys, ts).agg(content.alias("_c"))
-    before = F.lag("_c").over(W.partitionBy(*keys).orderBy(ts))
-    kept = versions.withColumn("_p", before).filter("_p is null or _p != _c").select(*keys, ts)
-    return snapshots.join(kept, [*keys, ts], "left_semi")
+    """keys, ts, item, value of the snapshots whose content differs from the snapshot before; unchanged ones are no versions."""
+    before = F.lag("_m").over(W.partitionBy(*keys).orderBy(ts))
+    kept = _versions(snapshots, keys, item, value, ts).withColumn("_p", before).filter(F.col("_p").isNull() | (F.col("_p") != F.col("_m")))
+    return kept.select(*keys, ts, F.explode("_m").alias("_e")).select(*keys, ts, F.col("_e.item").alias(item), F.col("_e.value").alias(value))
 
 
 def map_deltas(snapshots: DataFrame, keys: list[str], item: str, value: str, ts: str = "ts") -> DataFrame:
@@ -22,13 +28,19 @@ def map_deltas(snapshots: DataFrame, keys: list[str], item: str, value: str, ts:
     The newest snapshot is kept as puts. An older one holds, for each item that differs from the next newer snapshot, a put
     of its old value, or an erase if it was not there yet.
     """
-    times = snapshots.select(*keys, ts).distinct()
-    steps = times.withColumn("_newer", F.lead(ts).over(W.partitionBy(*keys).orderBy(ts)))
-    old = snapshots.join(steps, [*keys, ts]).select(*keys, ts, item, F.col(value).alias("_old"), F.lit(True).alias("_was"))
-    new = snapshots.withColumnRenamed(ts, "_newer").join(steps.filter("_newer is not null"), [*keys, "_newer"]).select(*keys, ts, item, F.col(value).alias("_new"), F.lit(True).alias("_is"))
-    both = old.join(new, [*keys, ts, item], "full").join(steps, [*keys, ts])
-    differs = F.col("_newer").isNull() | F.col("_was").isNull() | F.col("_is").isNull() | ~F.col("_old").eqNullSafe(F.col("_new"))
-    return both.filter(differs).select(*keys, ts, item, F.when(F.col("_was"), "put").otherwise("erase").alias("op"), F.col("_old").alias(value))
+    newer = F.lead("_m").over(W.partitionBy(*keys).orderBy(ts))
+    both = _versions(snapshots, keys, item, value, ts).withColumn("_n", newer)
+
+    def entry(op: str, name, held):
+        return F.struct(name.alias("item"), F.lit(op).alias("op"), held.cast(snapshots.schema[value].dataType).alias("value"))
+
+    kept = F.when(F.col("_n").isNull(), F.col("_m")).otherwise(F.array_except("_m", "_n"))
+    items = [F.transform(c, lambda e: e["item"]) for c in ("_n", "_m")]
+    erased = F.transform(F.array_except(*items), lambda x: entry("erase", x, F.lit(None)))
+    changes = F.transform(kept, lambda e: entry("put", e["item"], e["value"]))
+    listed = F.when(F.col("_n").isNull(), changes).otherwise(F.concat(changes, erased))
+    exploded = both.select(*keys, ts, F.explode(listed).alias("_e"))
+    return exploded.select(*keys, ts, F.col("_e.item").alias(item), F.col("_e.op").alias("op"), F.col("_e.value").alias(value))
 
 
 def map_as_of(deltas: DataFrame, keys: list[str], item: str, value: str, at: int, ts: str = "ts") -> DataFrame:

@@ -83,7 +83,7 @@ def _(spark, sf):
 SELECT user_id, {TEXT.format(f'coalesce(arg_max(atoms, ts) FILTER (WHERE ts <= {EARLY}), arg_min(atoms, ts))')} AS atoms FROM {STATES} GROUP BY user_id""")
 def _(spark, sf):
     states = array_states(spark, sf)
-    chain = chains.checkpoints(states, chains.reverse_deltas(states, USER, "atoms"), USER, "atoms", 8)
+    chain = chains.checkpointed(states, USER, "atoms", 8)
     return chains.fold(chain, USER, "atoms", EARLY).select("user_id", joined("atoms").alias("atoms"))
 
 
@@ -93,7 +93,7 @@ SELECT user_id, ts, (w IS NULL OR n % 8 = 0) AS is_full,
 FROM (SELECT *, lead(atoms) OVER (PARTITION BY user_id ORDER BY ts) AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM {STATES})""")
 def _(spark, sf):
     states = array_states(spark, sf)
-    chain = chains.checkpoints(states, chains.reverse_deltas(states, USER, "atoms"), USER, "atoms", 8)
+    chain = chains.checkpointed(states, USER, "atoms", 8)
     return chain.select("user_id", "ts", "is_full", joined("atoms").alias("delta"))
 
 
@@ -104,7 +104,7 @@ SELECT user_id, count(*) AS deltas FROM (
 WHERE seen = 0 GROUP BY user_id""")
 def _(spark, sf):
     states = array_states(spark, sf)
-    chain = chains.checkpoints(states, chains.reverse_deltas(states, USER, "atoms"), USER, "atoms", 8)
+    chain = chains.checkpointed(states, USER, "atoms", 8)
     return chains.deltas_since_full(chain, USER)
 
 

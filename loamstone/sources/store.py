@@ -27,7 +27,7 @@ class Store:
         return self._fs.exists(self._path(f"{self.root}/{POINTER}"))
 
     def generation(self) -> dict[str, dict[str, str]]:
-        """Table name -> part -> folder of the current generation. Tables without parts have the one part ''."""
+        """Table name -> part -> folder of the current generation. Tables without sectors have a part for each addition."""
         if not self.exists():
             return {}
         return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.root}/{POINTER}").first()[0])
@@ -41,8 +41,8 @@ class Store:
         wanted = [f"{self.root}/{f}" for p, f in sorted(folders.items()) if parts is None or p in parts]
         return self.spark.read.parquet(*wanted) if wanted else None
 
-    def commit(self, changed: dict[str, DataFrame], level: int = 4, part: str | None = None) -> None:
-        """Writes the changed tables and switches to them at once.
+    def commit(self, changed: dict[str, DataFrame], level: int = 4, part: str | None = None, added: tuple[str, ...] = ()) -> None:
+        """Writes the changed tables and switches to them at once. To the tables named in `added` the rows are added.
 
         With `part`, a column, tables that have it are written in parts: only the parts in `changed` are replaced, the others
         stay. A change therefore rewrites the sectors that it touches and no more.
@@ -60,7 +60,7 @@ class Store:
                 current[name] = current.get(name, {}) | {unquote(w.removeprefix("_part=")): f"{folder}/{w}" for w in written}
             else:
                 writer.parquet(f"{self.root}/{folder}")
-                current[name] = {"": folder}
+                current[name] = (current.get(name, {}) if name in added else {}) | {folder: folder}
         draft = self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(current, sort_keys=True).encode()))
@@ -71,6 +71,30 @@ class Store:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(draft, target, options)
 
+    def usage(self) -> dict[str, int]:
+        """files and bytes of the current generation."""
+        found = {"files": 0, "bytes": 0}
+        for parts in self.generation().values():
+            for folder in parts.values():
+                summary = self._fs.getContentSummary(self._path(f"{self.root}/{folder}"))
+                found["files"] += summary.getFileCount()
+                found["bytes"] += summary.getLength()
+        return found
+
+    def broken(self) -> list[tuple[str, str]]:
+        """(folder, problem) of parts of the current generation that are missing or cannot be read."""
+        out = []
+        for name, parts in sorted(self.generation().items()):
+            for folder in sorted(parts.values()):
+                if not self._fs.exists(self._path(f"{self.root}/{folder}")):
+                    out.append((folder, f"missing part of {name}"))
+                    continue
+                try:
+                    self.spark.read.parquet(f"{self.root}/{folder}").limit(1).count()
+                except Exception as e:  # whatever Spark says of a damaged file is the finding
+                    out.append((folder, f"unreadable part of {name}: {str(e).splitlines()[0][:200]}"))
+        return out
+
     def sweep(self) -> int:
         """Deletes folders of older generations (no reader may use them any more)."""
         kept, n = {f.split("/")[0] for parts in self.generation().values() for f in parts.values()}, 0

@@ -39,7 +39,11 @@ def stream_changes(feed: DataFrame, key: str, value: str, key_type: str = "long"
 
 
 def shared_root(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loamstone-stream-")
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loamstone-stream-")
     return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
@@ -66,16 +70,17 @@ def windowed_counts(feed: DataFrame, late: str = "10 minutes", width: str = "5 m
 
 
 def scheduled_ingest(feed: DataFrame, engine, checkpoint: str, interval: str | None = "60 minutes"):
-    """Starts a query that ingests each micro-batch of sections (CHUNK, kind, section, atoms, ts) at its newest time.
+    """Starts a query that ingests each micro-batch of sections (CHUNK, kind, section, atoms, ts), one time after the other.
 
     interval: time between batches; None takes what is there, once. Batches run one at a time, and one that fails is run
     again from the checkpoint. A batch that was committed before a failure is rejected the second time as not newer.
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            engine.ingest(newest, batch.drop("ts"))
+        batch = batch.dropDuplicates().persist()  # rows may be delivered again
+        for row in batch.select("ts").filter("ts is not null").distinct().orderBy("ts").collect():
+            engine.ingest(row["ts"], batch.filter(F.col("ts") == row["ts"]).drop("ts"))
+        batch.unpersist()
 
     writer = feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

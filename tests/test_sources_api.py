@@ -220,6 +220,103 @@ def test_engine_reports(engine, capsys):
     assert "1 changed" in capsys.readouterr().out
 
 
+def states(spark, kinds):
+    data = [("overworld", 0, 0, lx, 0, k) for lx, k in kinds.items()]
+    return spark.createDataFrame(data, "dimension string, rx int, rz int, lx int, lz int, type string")
+
+
+def no_tiles(spark):
+    return spark.createDataFrame([("overworld", 0, 0, 1, 0, None, None, None)], "dimension string, rx int, rz int, lx int, lz int, pos long, type long, nbt binary")
+
+
+def test_states_reject_what_is_older_or_equal(spark, tmp_path):
+    from loamstone.api import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    for ts, kind in ((1000, "NEW"), (2000, "NEW"), (500, "OLD"), (3000, "OLD")):
+        e.ingest(ts, states=states(spark, {1: kind}))
+    assert rows(e.store.read("states").select("ts", "type")) == [(1000, "NEW"), (3000, "OLD")]
+
+
+def test_files_are_only_added_to(spark, tmp_path):
+    from loamstone.api import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.ingest(1000, files=files(spark, {"a.dat": "1", "b.dat": "same"}))
+    first = e.store.generation()
+    e.ingest(2000, files=files(spark, {"a.dat": "2", "b.dat": "same"}))
+    e.ingest(1500, files=files(spark, {"a.dat": "late"}))
+    now = e.store.generation()
+    assert all(first[t].items() <= now[t].items() for t in ("entries", "blobs"))
+    assert rows(e.store.read("entries").select("path", "ts")) == [("a.dat", 1000), ("a.dat", 2000), ("b.dat", 1000)]
+    assert state_of_files(e, 1600) == {"a.dat": "1", "b.dat": "same"} and state_of_files(e, 2500) == {"a.dat": "2", "b.dat": "same"}
+    assert e.verify().count() == 0 and e.stats()["files"] >= 4 and e.stats()["bytes"] > 0
+
+
+def state_of_files(e, at):
+    return {x["path"]: x["content"] for x in e.restore(at, chunks=False).files.collect()}
+
+
+def test_last_tile_goes_and_comes_back(spark, tmp_path):
+    from loamstone.api import Engine
+
+    e = Engine(spark, str(tmp_path / "s"))
+    e.ingest(1000, sections(spark, {1: [1]}), tile_items(spark, {5: b"a", 6: b"b"}))
+    e.ingest(2000, tile_items=no_tiles(spark))
+    e.ingest(2500, tile_items=no_tiles(spark))
+    e.ingest(3000, tile_items=tile_items(spark, {6: b"c"}))
+    found = {at: {x["pos"]: bytes(x["nbt"]) for x in e.restore(at).tiles.collect()} for at in (1000, 1999, 2000, 2700, 3000)}
+    assert found == {1000: {5: b"a", 6: b"b"}, 1999: {5: b"a", 6: b"b"}, 2000: {}, 2700: {}, 3000: {6: b"c"}}
+    assert e.verify().count() == 0
+
+
+def test_batches_hold_a_key_once(spark, tmp_path):
+    from loamstone.api import Engine
+    from loamstone.streaming.ingest import scheduled_ingest
+
+    e = Engine(spark, str(tmp_path / "s"))
+    both = sections(spark, {1: [1, 2]}).unionByName(sections(spark, {1: [3, 4]}))
+    with pytest.raises(ValueError, match="more than one row"):
+        e.ingest(1000, both)
+    assert not e.store.exists()
+    timed = sections(spark, {1: [1, 2]}).withColumn("ts", F.lit(1000).cast("long")).unionByName(sections(spark, {1: [3, 4]}).withColumn("ts", F.lit(2000).cast("long")))
+    timed.unionByName(timed).coalesce(1).write.parquet(str(tmp_path / "feed"))  # one micro-batch, each row twice
+    scheduled_ingest(spark.readStream.schema(timed.schema).parquet(str(tmp_path / "feed")), e, str(tmp_path / "c"), None).awaitTermination()
+    assert [[x["atoms"] for x in e.restore(at).sections.collect()] for at in (1500, 2500)] == [[[1, 2]], [[3, 4]]]
+
+
+def test_verify_finds_damage(spark, tmp_path):
+    import pathlib
+    import shutil
+
+    from loamstone.api import Engine
+
+    def problems(e, **a):
+        return {r["problem"].split(":")[-1].strip() if "unreadable" not in r["problem"] else "unreadable" for r in e.verify(**a).collect()}
+
+    e = Engine(spark, str(tmp_path / "s"))
+    assert e.verify().count() == 0
+    e.ingest(1000, sections(spark, {1: [1, 2]}), tile_items(spark, {5: b"a"}), states=states(spark, {1: "NEW"}), files=files(spark, {"a": "x", "b": "y"}))
+    assert problems(e) == set()
+    chain = e.store.read("chains")
+    e.store.commit({"chains": chain.unionByName(chain.withColumn("is_full", F.lit(False)).withColumn("ts", F.lit(2000).cast("long"))).unionByName(chain)}, part="sector")
+    e.store.commit({"blobs": e.store.read("blobs").limit(1)})
+    found = problems(e)
+    assert {"the newest entry is not full", "several entries at one time"} <= found and any("1" in p for p in found)
+    good = tmp_path / "r/nether/0/0/r.0.0.zvcr3d"  # the folder names another dimension
+    good.parent.mkdir(parents=True)
+    good.write_bytes(container.serialise([{**r, "ordinal": 1 - r["ordinal"]} if r["ordinal"] < 2 and r["kind"] == "block" else r for r in sample_rows()], "overworld", 776))
+    (good.parent / "r.0.1.zvcr3d").write_bytes(b"junk")
+    told = [r["problem"] for r in e.verify(regions=str(tmp_path / "r")).collect()]
+    assert any(p.startswith("unreadable") for p in told) and any("another dimension" in p for p in told) and any("protocol" in p for p in told)
+    folder = next(iter(e.store.generation()["blobs"].values()))
+    for f in pathlib.Path(e.store.root, folder).glob("*.parquet"):
+        f.write_bytes(b"damaged")
+    assert problems(e) == {"unreadable"}
+    shutil.rmtree(pathlib.Path(e.store.root, folder))
+    assert {r["problem"] for r in e.verify().collect()} == {"missing part of blobs"}
+
+
 def test_engine_prune(engine):
     with pytest.raises(ValueError):
         engine.prune(RetentionPolicy())
