@@ -82,27 +82,37 @@ def deltas_since_full(chain: DataFrame, keys: list[str], ts: str = "ts") -> Data
     return older.withColumn("_seen", seen).filter("_seen = 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("deltas"))
 
 
-def fold(chain: DataFrame, keys: list[str], value: str, at: int, ts: str = "ts", clamp: bool = True) -> DataFrame:
-    """Array state of each key at time `at` from its chain.
+def folds(chain: DataFrame, keys: list[str], value: str, ats: list[int], ts: str = "ts", clamp: bool = True) -> DataFrame:
+    """keys, `value`_0, `value`_1, ...: the array state of each key at each of some times, from one pass over its chain.
 
     Entries are chosen on narrow columns first: those between the nearest full entry that is new enough and the state
     asked for. Only their arrays are read and laid over each other, from new to old. Before the first state the oldest
-    one counts if `clamp`, else the key is absent.
+    one counts if `clamp`, else the state is null; keys without any state are absent.
     """
-    w = W.partitionBy(*keys).orderBy(ts)
-    narrow = chain.select(*keys, ts, "is_full", F.lead(ts).over(w).alias("_newer"), F.min(ts).over(W.partitionBy(*keys)).alias("_first"))
-    target = F.greatest(F.lit(at), F.col("_first")) if clamp else F.lit(at)
-    needed = narrow.filter((F.col("_newer").isNull() | (F.col("_newer") > target)) & (F.col("_first") <= target))
-    base = F.min(F.when(F.col("is_full"), F.col(ts))).over(W.partitionBy(*keys))
-    needed = needed.withColumn("_base", base).filter(F.col(ts) <= F.col("_base")).select(*keys, ts)
-    entries = chain.select(*keys, ts, value).join(needed, [*keys, ts], "left_semi")
-    newest_first = F.transform(F.sort_array(F.collect_list(F.struct(F.col(ts), F.col(value))), asc=False), lambda e: e[value])
+    w, whole = W.partitionBy(*keys).orderBy(ts), W.partitionBy(*keys)
+    narrow = chain.select(*keys, ts, "is_full", F.lead(ts).over(w).alias("_newer"), F.min(ts).over(whole).alias("_first"))
+    flags = [f"_in{i}" for i in range(len(ats))]
+    for flag, at in zip(flags, ats, strict=True):
+        target = F.greatest(F.lit(at), F.col("_first")) if clamp else F.lit(at)
+        narrow = narrow.withColumn(flag, (F.col("_newer").isNull() | (F.col("_newer") > target)) & (F.col("_first") <= target))
+        base = F.min(F.when(F.col("is_full") & F.col(flag), F.col(ts))).over(whole)
+        narrow = narrow.withColumn("_base", base).withColumn(flag, F.col(flag) & (F.col(ts) <= F.col("_base")))
+    needed = narrow.filter(" or ".join(flags)).groupBy(*keys, ts).agg(*[F.max(f).alias(f) for f in flags])
+    entries = chain.select(*keys, ts, value).join(needed, [*keys, ts])
 
     def lay(below: Column, above: Column) -> Column:
         return F.zip_with(above, below, lambda a, b: F.coalesce(a, b))
 
-    listed = entries.groupBy(*keys).agg(newest_first.alias("_e"))
-    return listed.select(*keys, F.aggregate(F.slice("_e", 2, F.size("_e")), F.get("_e", F.lit(0)), lay).alias(value))
+    def newest_first(flag: str) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct(F.col(ts), F.col(value)))), asc=False), lambda e: e[value])
+
+    listed = entries.groupBy(*keys).agg(*[newest_first(f).alias(f) for f in flags])
+    return listed.select(*keys, *[F.aggregate(F.slice(f, 2, F.size(f)), F.get(f, F.lit(0)), lay).alias(f"{value}_{i}") for i, f in enumerate(flags)])
+
+
+def fold(chain: DataFrame, keys: list[str], value: str, at: int, ts: str = "ts", clamp: bool = True) -> DataFrame:
+    """Array state of each key at time `at` from its chain (see folds); keys without a state are absent."""
+    return folds(chain, keys, value, [at], ts, clamp).select(*keys, F.col(f"{value}_0").alias(value))
 
 
 def as_of(states: DataFrame, keys: list[str], values: list[str], at, ts: str = "ts", clamp: bool = False) -> DataFrame:

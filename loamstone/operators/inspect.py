@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.operators import blobs as blob_ops
-from loamstone.operators.chains import as_of, fold
+from loamstone.operators.chains import as_of, folds
 
 PROTOCOL = 777
 CHUNK = ["dimension", "rx", "rz", "lx", "lz"]
@@ -64,21 +64,27 @@ def diff_chunks(chain: DataFrame, tiles: DataFrame | None, older: int, newer: in
     from loamstone.operators.tiles import map_as_of
 
     keys = keys or CHUNK
-    section = [*keys, "kind", "section"]
-    sides = []
-    for at in sorted((older, newer)):
-        atoms = fold(chain, section, "atoms", at, clamp=False)
-        side = atoms.groupBy(*keys).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("kind", "section", "atoms")))).alias("content"))
-        if tiles is not None:
-            born = tiles.groupBy(*keys).agg(F.min("ts").alias("_t")).filter(F.col("_t") <= at).drop("_t")
-            now = map_as_of(tiles, keys, "pos", "nbt", at)
-            what = F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "nbt")))) if deep else F.count(F.lit(1))
-            counted = born.join(now.groupBy(*keys).agg(what.cast("long").alias("tiles")), keys, "left").withColumn("tiles", F.coalesce("tiles", F.lit(0)))
-            side = side.join(counted, keys, "full")
-        else:
-            side = side.withColumn("tiles", F.lit(None).cast("long"))
-        sides.append(side)
-    return difference(sides[0], sides[1], keys, ["content", "tiles"])
+    times = sorted((older, newer))
+    states = folds(chain, [*keys, "kind", "section"], "atoms", times, clamp=False)
+
+    def content(i: int) -> Column:
+        held = F.when(F.col(f"atoms_{i}").isNotNull(), F.struct("kind", "section", f"atoms_{i}"))
+        return F.when(F.count(f"atoms_{i}") > 0, F.xxhash64(F.array_sort(F.collect_list(held)))).alias(f"content_{i}")
+
+    both = states.groupBy(*keys).agg(content(0), content(1))
+    for i, at in enumerate(times):
+        if tiles is None:
+            both = both.withColumn(f"tiles_{i}", F.lit(None).cast("long"))
+            continue
+        born = tiles.groupBy(*keys).agg(F.min("ts").alias("_t")).filter(F.col("_t") <= at).drop("_t")
+        now = map_as_of(tiles, keys, "pos", "nbt", at)
+        what = F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "nbt")))) if deep else F.count(F.lit(1))
+        counted = born.join(now.groupBy(*keys).agg(what.cast("long").alias(f"tiles_{i}")), keys, "left").withColumn(f"tiles_{i}", F.coalesce(f"tiles_{i}", F.lit(0)))
+        both = both.join(counted, keys, "full")
+    there = [F.col(f"content_{i}").isNotNull() | F.col(f"tiles_{i}").isNotNull() for i in (0, 1)]
+    same = F.col("content_0").eqNullSafe(F.col("content_1")) & F.col("tiles_0").eqNullSafe(F.col("tiles_1"))
+    status = F.when(~there[0] & there[1], "only_new").when(there[0] & ~there[1], "only_old").when(~same, "changed")
+    return both.select(*keys, status.alias("status")).filter("status is not null")
 
 
 def unordered(chain: DataFrame, keys: list[str], place: str = "ordinal") -> DataFrame:
