@@ -1,7 +1,14 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; every result is written as Parquet and
-read again. All stages but the last return the columns of documents.
+read again. All stages but the last return the columns of documents, and other columns of the input are left out at once,
+whatever their names.
+
+Null and empty texts: scored like any other text; near duplicates of each other; unchanged by the removal of passages (null
+stays null); of size 0 in the mix; packed as their final id. A null doc_id trains nothing, is no near duplicate, and is
+carried. A null source is a source of its own. Very long texts are worked on whole. Ties: of equal texts the smallest doc_id
+stays; sources of equal target go by name. Rows that repeat with the same doc_id stay or leave together, repeat each other's
+passages, get the same number of copies, and are packed each. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
