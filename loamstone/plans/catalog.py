@@ -478,7 +478,10 @@ def _(spark, sf):
     return out.select("label", joined("atoms").alias("atoms"))
 
 
-@query("section_digest")  # SHA-1 over 16-bit ranks: SQL has no such bytes; tests compare two orders of a palette
+@query("section_digest", f"""
+WITH a AS (SELECT vec_id, unnest(range(0, 64)) AS i, 'b' || unnest(atoms) AS name FROM {QUANTISED}),
+r AS (SELECT vec_id, i, dense_rank() OVER (PARTITION BY vec_id ORDER BY name) - 1 AS k FROM a)
+SELECT vec_id, sha1(unhex(string_agg(printf('%02x%02x', k % 256, k // 256), '' ORDER BY i))) AS digest FROM r GROUP BY vec_id""")
 def _(spark, sf):
     q = quantised(spark, sf).withColumn("p", palette.palette("atoms"))
     entries = q.select("vec_id", F.transform("p", lambda x: F.concat(F.lit("b"), x.cast("string"))).alias("names"), F.transform("atoms", lambda a: F.array_position("p", a).cast("int") - 1).alias("index"))
@@ -529,7 +532,9 @@ def _(spark, sf):
     return registry.name_index(table(spark, sf, "part").select(F.lit("block").alias("kind"), F.col("p_name").alias("name"), F.col("p_partkey").cast("int").alias("id")))
 
 
-@query("registry_fingerprint")  # the digest's separators are bytes that are no text; a test compares with hashlib
+@query("registry_fingerprint", f"""
+WITH names AS (SELECT 'a' AS epoch, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'b', row_number() OVER (ORDER BY n_name), n_name FROM nation WHERE n_nationkey <> 7)
+SELECT epoch, sha256(unhex(hex('{inspect.PROTOCOL}') || string_agg('00' || hex(name), '' ORDER BY id) || 'FF')) AS fingerprint FROM names GROUP BY epoch""")
 def _(spark, sf):
     old, new = registries(spark, sf)
     return names.registry_fingerprint(old.unionByName(new), inspect.PROTOCOL)
@@ -627,14 +632,22 @@ def _(spark, sf):
     return compare.aux_differences(blobs.files_as_of(h, MID), blobs.files_as_of(h.filter("ts >= 50"), CUT))
 
 
-@query("chunk_fingerprint")  # a digest over a JSON text of nested rows; tests cover its invariances
+@query("chunk_fingerprint", """
+SELECT l_orderkey AS k, sha1('[' || string_agg('{"y":' || l_linenumber || ',"block":"' || l_returnflag || '","biome":"' || l_linestatus || '"}', ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) || ']') AS fingerprint
+FROM lineitem GROUP BY l_orderkey""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem")
     sections = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("y"), F.col("l_returnflag").alias("block"), F.col("l_linestatus").alias("biome"))
     return compare.chunk_fingerprint(sections, None, ["k"])
 
 
-@query("run_batches")  # greedy packing is sequential; tests compare with a loop
+@query("run_batches", """
+WITH RECURSIVE c AS (SELECT DISTINCT o_orderkey // 1024 AS region, (o_orderkey % 1024 // 32)::INT AS z, (o_orderkey % 32)::INT AS x FROM orders WHERE o_orderkey % 32 % 7 <> 3),
+runs AS (SELECT region, z, min(x) AS x0, max(x) AS x1, max(x) - min(x) + 1 AS size, row_number() OVER (PARTITION BY region ORDER BY z, min(x)) AS n
+  FROM (SELECT *, x - row_number() OVER (PARTITION BY region, z ORDER BY x) AS island FROM c) GROUP BY region, z, island),
+packed AS (SELECT *, size AS filled, 0 AS batch FROM runs WHERE n = 1 UNION ALL
+  SELECT r.*, CASE WHEN filled + r.size > 256 THEN r.size ELSE filled + r.size END, batch + (filled + r.size > 256)::INT FROM packed p JOIN runs r ON r.region = p.region AND r.n = p.n + 1)
+SELECT region, z, x0, x1, batch FROM packed""")
 def _(spark, sf):
     o = table(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 1024).cast("long").alias("region"), F.floor(F.col("o_orderkey") % 1024 / 32).cast("int").alias("z"), (F.col("o_orderkey") % 32).cast("int").alias("x"))
     return compare.run_batches(o.filter("x % 7 != 3"), ["region"], 256)
