@@ -5,19 +5,16 @@ Every query runs over whole tables. Queries without SQL say why.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.functions import coords, names, palette
 from loamstone.operators import blobs, chains, compare, inspect, registry, retention, tiles
+from loamstone.plans import storage  # noqa: F401  (enters its queries)
+from loamstone.plans.register import ORACLE, QUERIES, query  # noqa: F401
 from loamstone.plans.tables import (
     ATOMS, EARLY, FILES, LATE, QUANTISED, array_states, daily_maps, feed, files, joined, order_points, quantised, registries, ship_points, table, worlds,
 )
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 ORDERS_NOW = 996_710_400  # a day after the last order date
 FEED = "(SELECT user_id, epoch_us(ts) AS ts, event_type, value FROM events)"
 STATES = f"""(SELECT user_id, ts, atoms FROM (
@@ -28,16 +25,6 @@ TEXT = "array_to_string(list_transform({0}, lambda x: coalesce(x::VARCHAR, '-'))
 USER = ["user_id"]
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
 # --- points in time -----------------------------------------------------------------------------------------------
 
 
