@@ -145,12 +145,22 @@ def section_digest(names, index) -> Column:
 
 
 def palette_table(packed_rows: DataFrame, column: str = "data") -> DataFrame:
-    """palette_id, palette, bits: each distinct palette once, numbered in order of its content."""
+    """palette_id, palette, bits: each distinct palette once, numbered in order of its content.
+
+    Numbers are offsets of the first entry, offsets of the second among those, and places behind both. The only order over
+    all is that of the first entries, which are 16 bits wide.
+    """
     from pyspark.sql import Window
 
     distinct = packed_rows.filter(F.size(f"{column}.palette") > 0).select(f"{column}.palette", f"{column}.bits").distinct()
-    # distinct palettes are few; numbering needs one order over them
-    return distinct.select(F.dense_rank().over(Window.orderBy("palette", "bits")).alias("palette_id"), "palette", "bits")
+    keyed = distinct.withColumn("_a", F.col("palette")[0]).withColumn("_b", F.coalesce(F.get("palette", F.lit(1)), F.lit(-1)))  # [5] stands before [5, 0]
+    pairs = keyed.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = (Window.unboundedPreceding, -1)
+    firsts = pairs.groupBy("_a").agg(F.sum("_n").alias("_n")).select("_a", F.coalesce(F.sum("_n").over(Window.orderBy("_a").rowsBetween(*before)), F.lit(0)).alias("_start"))
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_a").orderBy("_b").rowsBetween(*before)), F.lit(0))
+    offsets = pairs.withColumn("_inner", inner).join(F.broadcast(firsts), "_a").select("_a", "_b", (F.col("_start") + F.col("_inner")).alias("_offset"))  # 65,536 rows at most
+    place = F.row_number().over(Window.partitionBy("_a", "_b").orderBy("palette", "bits"))
+    return keyed.join(offsets, ["_a", "_b"]).select((F.col("_offset") + place).cast("int").alias("palette_id"), "palette", "bits")
 
 
 def concat_sections(df: DataFrame, keys: list[str], section: str = "section", atoms: str = "atoms") -> DataFrame:

@@ -459,10 +459,10 @@ def _(spark, sf):
     return palette.palette_table(packed).select("palette_id", joined("palette").alias("palette"))
 
 
-@query("concat_sections", f"SELECT label, array_to_string(flatten(list(atoms ORDER BY vec_id)), ',') AS atoms FROM {QUANTISED} GROUP BY label")
+@query("concat_sections", f"SELECT vec_id // 24 AS chunk, array_to_string(flatten(list(atoms ORDER BY vec_id)), ',') AS atoms FROM {QUANTISED} GROUP BY vec_id // 24")
 def _(spark, sf):
-    out = palette.concat_sections(quantised(spark, sf).withColumnRenamed("vec_id", "section"), ["label"])
-    return out.select("label", joined("atoms").alias("atoms"))
+    sections = quantised(spark, sf).select(F.floor(F.col("vec_id") / 24).alias("chunk"), (F.col("vec_id") % 24).alias("section"), "atoms")  # a chunk has 24
+    return palette.concat_sections(sections, ["chunk"]).select("chunk", joined("atoms").alias("atoms"))
 
 
 @query("section_digest", f"""
