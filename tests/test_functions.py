@@ -75,3 +75,10 @@ def test_section_digest_ignores_palette_order(spark):
     df = spark.createDataFrame([(["b", "a"], [0, 1, 1]), (["a", "b"], [1, 0, 0])], "n array<string>, i array<int>")
     assert df.select(palette.section_digest("n", "i")).distinct().count() == 1
     assert df.select(F.size("n")).count() == 2
+
+
+def test_palette_table_numbers_by_content(spark):
+    found = [[5], [5, 0], [5, 0, 1], [0, 9], [5, 2], [0], [0, 9], [7, 8, 9]]
+    data = spark.createDataFrame([((p, len(p)),) for p in found], "data struct<palette: array<int>, bits: int>")
+    got = rows(palette.palette_table(data).select("palette_id", "palette"))
+    assert got == [(i + 1, p) for i, p in enumerate(sorted(map(list, set(map(tuple, found)))))]

@@ -346,3 +346,34 @@ def test_config(tmp_path):
     with pytest.raises(OSError):
         c.set("threads", "3")
     assert c.values["threads"] == "0"
+
+
+def test_contents_that_are_none(spark):
+    found = container.parsed(spark.createDataFrame([("a", None), ("b", bytearray())], "path string, content binary"))
+    assert rows(found.select("path", F.col("error").isNotNull())) == [("a", True), ("b", True)]
+
+
+def test_damaged_chunks_are_rows(spark, tmp_path):
+    good, junk = chunk(0, 0), b"\x0a\0\0\x09junk"
+    tall = world.tree_bytes(world.Typed(10, {"block_entities": world.Typed(3, 1)}))
+    chunks = {(i, 0): (i, 2, zlib.compress(raw)) for i, raw in enumerate((good, junk, tall))} | {(3, 0): (3, 2, b"no stream"), (4, 0): (4, 9, good), (5, 0): (5, 4, b"x"), (6, 0): (6, 1, b"x")}
+    (tmp_path / "r.0.0.mca").write_bytes(world.region_bytes(chunks))
+    tiles = world.read_tiles(spark, str(tmp_path))
+    assert rows(tiles.select("lx", F.col("error").isNull())) == [(i, i == 0) for i in range(7)]
+    assert rows(world.read_sections(spark, str(tmp_path)).select("lx", F.col("error").isNull())) == [(i, i == 0) for i in range(7)]
+
+
+def test_region_bytes_round_trip():
+    trees = {(x, z): world.Typed(10, {"n": world.Typed(3, x * 32 + z), "long": world.Typed(8, "t" * 300 * z)}) for x, z in ((0, 0), (31, 0), (4, 20), (31, 31))}
+    data = world.region_bytes({at: (7, at[0] % 4 + 1, world.compressed(at[0] % 4 + 1, world.tree_bytes(t))) for at, t in trees.items()})
+    assert len(data) % world.SECTOR == 0
+    assert {(lx, lz): world.chunk_tree(data, start) for lx, lz, _, start in world.chunk_headers(data)} == trees
+    with pytest.raises(ValueError):
+        world.region_bytes({(32, 0): (1, 3, b"")})
+
+
+def test_auxiliary_files_below_an_odd_path(spark, tmp_path):
+    root = tmp_path / "a+b (c)"
+    (root / "data").mkdir(parents=True)
+    (root / "data/x.dat").write_bytes(b"1")
+    assert rows(world.auxiliary_files(spark, str(root)).select("path")) == [("data/x.dat",)]
