@@ -124,6 +124,38 @@ def test_near_duplicates_find_every_close_pair(spark):
     assert kept == set(range(0, 300, 2))
 
 
+def test_near_duplicates_go_by_fingerprints_first(spark, monkeypatch):
+    r = random.Random(4)
+
+    def changed(words, at, n=1):
+        return [*words[:at], *(f"x{r.randrange(10**6)}" for _ in range(n)), *words[at + n :]]
+
+    def close(words):  # another last word, at most two bits away
+        while True:
+            new = changed(words, len(words) - 1)
+            if (simhash.fingerprint(" ".join(new)) ^ simhash.fingerprint(" ".join(words))).bit_count() <= 2:
+                return new
+
+    texts = {}
+    for i in range(0, 600, 20):  # the hub of a component leaves, what it covers does not, and has a neighbour of its own
+        root = [f"w{r.randrange(10**6)}" for _ in range(400)]
+        hub = changed(root, 100, 40)
+        member = close(hub)
+        texts |= {i: root, i + 1: hub, i + 2: member, i + 3: close(member), i + 4: changed(member, 300, 30), i + 5: close(root)}
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    want = []
+    for d, t in texts.items():
+        if all(similarity(t, texts[k]) < 0.8 for k in want if k // 20 == d // 20):
+            want.append(d)
+    assert all(i + 1 not in want and i + 2 in want for i in range(0, 600, 20))
+    compared, prefixes = [], simhash._prefixes
+    monkeypatch.setattr(simhash, "_prefixes", lambda rest, *a: compared.append({x["doc"] for x in rest.select("doc").collect()}) or prefixes(rest, *a))
+    got = sorted(x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert got == want
+    assert not any(i + 5 in compared[0] for i in range(0, 600, 20))  # linked and compared exactly already
+    assert any(i + 2 not in compared[0] for i in range(0, 600, 20))  # covered by what leaves
+
+
 def brute_windows(texts, width):
     words = [(t or "").encode().split() for t in texts]
     counts = collections.Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
