@@ -76,6 +76,20 @@ def test_components_of_chains(spark, seed):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_links_are_grouped_in_batches(spark):
+    nodes = [(i, i << 1 if i < 40 else r << 32 | i) for r in (0, 7) for i in range(40 * (r > 0), 40 + 20 * (r > 0))]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups go on over batches
+    try:
+        found = simhash.links(spark.createDataFrame(nodes, "node long, fp long"))
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+        got = {x["node"]: x["component"] for x in simhash.components(found, Scratch(spark, "t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = brute_components(dict(nodes), 2)
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_near_duplicates(spark, odd, empty):
     r = random.Random(5)
     base = [f"w{r.randrange(5000)}" for _ in range(400)]
